@@ -213,7 +213,7 @@ def _documents(path, cache_words, digests):
     return run
 
 
-def encode(docs: DataFrame, tokenizer: str | None = None, digests: bool = False, cache_words: int = 250_000) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str | None = None, digests: bool = False, cache_words: int = 400_000) -> DataFrame:
     """doc_id, n_tokens, ids and decoded text of every document; digests: their sha256 instead of ids and text.
 
     tokenizer: the path of a byte-level BPE file of the tokenizers library. The result has one row for each row of docs.

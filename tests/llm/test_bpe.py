@@ -3,7 +3,7 @@ import random
 import pytest
 
 from lodestone.llm import bpe
-from lodestone.llm.wordcode import Decoder, WordCoder, default_tokenizer, load
+from lodestone.llm.wordcode import Decoder, WordCoder, default_tokenizer, load, quick_core
 
 ODD = ["a  b", " a", "a ", "\n\n a\tb  \n c ", "it's  'll  x", "x <|endoftext|> y  <|endoftext|>z", "é  b   c", "日本 語。 1234 56 ", "\x1c a \x1d  b", "", " ", "   ", "a" * 5000, "émü 😀 👩‍👩‍👧 x" * 200]
 
@@ -27,6 +27,15 @@ def test_words_equal_library(tk):
         assert list(memoryview(coder.encode([t])[0]).cast("I")) == tk.encode(t, add_special_tokens=False).ids
 
 
+def test_quick_core_equals_library(tk):
+    quick, lengths, _ = quick_core(tk)
+    rng = random.Random(9)
+    tokens = [tk.decode([i]) for i in range(0, 50000, 7)]
+    for _ in range(300):
+        t = "".join(rng.choice(tokens) for _ in range(40))
+        assert quick(t) == tk.encode(t, add_special_tokens=False).ids
+
+
 def test_decoder_equals_library(tk):
     d, rng = Decoder(tk), random.Random(2)
     for _ in range(200):
