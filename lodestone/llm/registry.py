@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES and ORACLE_SQL.
-MODULES = ("q_bpe",)
+MODULES = ("q_bpe", "q_sst", "q_warc", "q_decon", "q_simhash")
 
 
 def queries() -> dict:
