@@ -22,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Scratch, partitions, small_batches
-from lodestone.llm.wordcode import SPLIT, Decoder, WordCoder, default_tokenizer, load
+from lodestone.llm import wordcode
+from lodestone.llm.common import Scratch, packed, partitions, small_batches, unpacked
+from lodestone.llm.wordcode import SPLIT, WordCoder, default_tokenizer, load
 
 #: Least, usual (a power of two above the least) and most bytes of a chunk; the rolling hash's window.
 LEAST, USUAL, MOST, WINDOW = 128, 512, 16384, 32
@@ -87,21 +88,21 @@ def _hashes(it):
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.binary()), pa.array([k[1] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["h", "p", "n"])
 
 
-def _bit(h: bytes) -> int:
-    return int.from_bytes(h[:4], "big") & (FILTER_BITS - 1)
+def _bit(h: bytes, p: int) -> int:
+    return (int.from_bytes(h[:4], "big") + p * 2654435761) & (FILTER_BITS - 1)
 
 
 def _likely(bitmap):
-    """Texts to (h, chunk) of the chunks whose bit is set."""
+    """(text, bucket) to (h, chunk) of the chunks whose bit is set: those that this bucket is to send."""
 
     def run(it):
         bits, sent = np.frombuffer(bitmap.value, np.uint8), set()
         for batch in it:
             hs, texts = [], []
-            for text in batch["text"].to_pylist():
+            for text, p in zip(batch["text"].to_pylist(), batch["p"].to_pylist(), strict=True):
                 data = (text or "").encode()
                 for h, a, b in chunks(data):
-                    i = _bit(h)
+                    i = _bit(h, p)
                     if bits[i >> 3] >> (i & 7) & 1 and h not in sent:
                         sent.add(h)
                         hs.append(h)
@@ -115,7 +116,7 @@ def _likely(bitmap):
 
 def _encode_chunks(path, cache_words):
     def run(it):
-        coder = WordCoder(path, cache_words)
+        coder = wordcode.coder(path, cache_words)
         for batch in it:
             codes = coder.encode([c.decode() for c in batch["chunk"].to_pylist()])
             yield pa.RecordBatch.from_arrays([batch["h"].cast(pa.binary()), pa.array(codes, pa.binary())], names=["h", "ids"])
@@ -181,34 +182,31 @@ def encode_text(coder: WordCoder, text: str, known: dict[bytes, bytes]) -> bytes
 
 def _documents(path, cache_words, digests):
     def run(it):
-        coder, known, bucket = WordCoder(path, cache_words), {}, None
-        decoder = Decoder(coder.tk)
+        coder, decoder, known, bucket = wordcode.coder(path, cache_words), wordcode.decoder(path), {}, None
         words = np.array([str(i).encode() + b"," for i in range(coder.tk.get_vocab_size())])
         wide = np.frombuffer(words.tobytes(), np.uint8).reshape(len(words), -1)
         for batch in it:
-            ids_out, texts_out, n_out, a_out, b_out, keep = [], [], [], [], [], []
-            cols = [batch[c].to_pylist() for c in ("p", "kind", "text", "h", "ids")]
-            for i, (p, kind, text, h, ids) in enumerate(zip(*cols, strict=True)):
+            got = []
+            for p, h, ids, parcel in zip(*(batch[c].to_pylist() for c in ("p", "h", "ids", "parcel")), strict=True):
                 if p != bucket:
                     bucket, known = p, {}
-                if kind == 0:
+                if parcel is None:
                     known[h] = ids
                     continue
-                keep.append(i)
-                code = np.frombuffer(encode_text(coder, text or "", known), "<u4")
-                listed = code.tolist()
-                n_out.append(len(listed))
-                if digests:
-                    decimal = wide[code].ravel()
-                    a_out.append(hashlib.sha256(decimal[decimal != 0].tobytes()[:-1]).hexdigest())
-                    b_out.append(hashlib.sha256(decoder.text(listed).encode()).hexdigest())
-                else:
-                    ids_out.append(listed)
-                    texts_out.append(decoder.text(listed))
-            ids_ = batch["doc_id"].take(pa.array(keep, pa.int32()))
-            last = [pa.array(a_out, pa.string()), pa.array(b_out, pa.string())] if digests else [pa.array(ids_out, pa.list_(pa.int32())), pa.array(texts_out, pa.string())]
-            names = ["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays([ids_, pa.array(n_out, pa.int64()), *last], names=["doc_id", "n_tokens", *names])
+                rows = unpacked(parcel)
+                for doc_id, text in zip(rows["doc_id"], rows["text"], strict=True):
+                    code = np.frombuffer(encode_text(coder, text or "", known), "<u4")
+                    listed = code.tolist()
+                    if digests:
+                        decimal = wide[code].ravel()
+                        got.append((doc_id, len(listed), hashlib.sha256(decimal[decimal != 0].tobytes()[:-1]).hexdigest(), hashlib.sha256(decoder.text(listed).encode()).hexdigest()))
+                    else:
+                        got.append((doc_id, len(listed), listed, decoder.text(listed)))
+                if got:
+                    kinds = (pa.int64(), pa.int64(), pa.string() if digests else pa.list_(pa.int32()), pa.string())
+                    names = ["doc_id", "n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"])]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got, strict=True), kinds, strict=True)], names=names)
+                    got = []
 
     return run
 
@@ -227,18 +225,20 @@ def encode(docs: DataFrame, tokenizer: str | None = None, digests: bool = False,
 
     seen = rows.select("text", "p").mapInArrow(_hashes, "h binary, p int, n long").groupBy("h", "p").agg(F.sum("n").alias("n"))
     seen = scratch.cut(seen)
-    shared = seen.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    shared = seen.groupBy("h").agg(F.sum("n").alias("n"), F.min("p").alias("p")).where("n > 1").select("h", "p")
 
-    place = F.conv(F.hex(F.substring("h", 1, 4)), 16, 10).cast("long").bitwiseAND(FILTER_BITS - 1)
+    place = (F.conv(F.hex(F.substring("h", 1, 4)), 16, 10).cast("long") + F.col("p") * F.lit(2654435761)).bitwiseAND(FILTER_BITS - 1)
     marks = shared.select(place.alias("i")).groupBy(F.shiftright("i", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(i & 31)))").alias("m"))
     bitmap = np.zeros(FILTER_BITS // 32, "<u4")  # at most FILTER_BITS / 32 rows come to the driver
     for w, m in marks.toLocalIterator():
         bitmap[w] = m
     sent = spark.sparkContext.broadcast(bitmap.tobytes())
 
-    texts = rows.select("text").mapInArrow(_likely(sent), "h binary, chunk binary").dropDuplicates(["h"])
+    texts = rows.select("text", "p").mapInArrow(_likely(sent), "h binary, chunk binary").dropDuplicates(["h"])
     codes = texts.join(shared, "h", "left_semi").mapInArrow(_encode_chunks(path, cache_words), "h binary, ids binary")
-    dealt = seen.select("h", "p").join(codes, "h").select("p", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "h", "ids")
-    both = dealt.unionByName(rows.select("p", F.lit(1).alias("kind"), "doc_id", "text", F.lit(None).cast("binary").alias("h"), F.lit(None).cast("binary").alias("ids")))
+    nothing = F.lit(None).cast("binary")
+    dealt = seen.select("h", "p").join(codes, "h").select("p", F.lit(0).alias("kind"), "h", "ids", nothing.alias("parcel"))
+    parcels = packed(rows, ["doc_id", "text"], buckets).select("p", F.lit(1).alias("kind"), nothing.alias("h"), nothing.alias("ids"), "parcel")
+    both = dealt.union(parcels)
     schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
     return both.repartition(buckets, "p").sortWithinPartitions("p", "kind").mapInArrow(_documents(path, cache_words, digests), schema)

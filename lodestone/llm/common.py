@@ -92,3 +92,49 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, rounds:
         raise RuntimeError("components did not settle")
     roots = e.select(F.col("b").alias("node")).distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots.select("node", F.col("node").alias("root")))
+
+
+#: Bytes of text that one compressed parcel gathers, over all buckets.
+PARCEL = 16 << 20
+
+
+def packed(docs: DataFrame, keep: list[str], buckets: int) -> DataFrame:
+    """Rows (doc_id, text, ...) dealt to buckets by a hash of both, as compressed parcels (p, parcel).
+
+    Texts that must move do so at less than half of the size that rows would take in a shuffle.
+    """
+    import pyarrow as pa
+
+    def run(it):
+        held, size = [], 0
+
+        def emit():
+            table = pa.Table.from_batches(held)
+            by = table.append_column("row", pa.array(range(table.num_rows), pa.int32())).group_by("p").aggregate([("row", "list")])
+            ps, blobs = by["p"].to_pylist(), []
+            for rows in by["row_list"]:
+                part, out = table.select(keep).take(rows.values).combine_chunks(), pa.BufferOutputStream()
+                with pa.ipc.new_stream(out, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                    w.write_table(part)
+                blobs.append(out.getvalue().to_pybytes())
+            return pa.RecordBatch.from_arrays([pa.array(ps, pa.int32()), pa.array(blobs, pa.binary())], names=["p", "parcel"])
+
+        for batch in it:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+                if size >= PARCEL:
+                    yield emit()
+                    held, size = [], 0
+        if held:
+            yield emit()
+
+    p = F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("p")
+    return docs.select(p, *keep).mapInArrow(run, "p int, parcel binary")
+
+
+def unpacked(parcel: bytes):
+    """The columns of a parcel, by name, as lists."""
+    import pyarrow as pa
+
+    return pa.ipc.open_stream(parcel).read_all().to_pydict()

@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm import store
+from lodestone.llm import store, wordcode
 from lodestone.llm.common import Scratch, partitions, small_batches
-from lodestone.llm.wordcode import WordCoder, default_tokenizer
+from lodestone.llm.wordcode import default_tokenizer
 
 BLOCK, RESTART, BITS_PER_KEY, PROBES = 1 << 18, 16, 10, 7
 FOOTER, MAGIC = struct.Struct("<QQQQQQI4s"), b"LSS1"
@@ -181,7 +181,7 @@ def _write(path, folder, end_id, cache_words):
             if not batch.num_rows:
                 continue
             if writer is None:
-                coder = WordCoder(path, cache_words)
+                coder = wordcode.coder(path, cache_words)
                 writer = Writer(store.create(uri), 2 if coder.tk.get_vocab_size() <= 1 << 16 else 4)
             texts = [t or "" for t in batch["text"].to_pylist()]
             for doc_id, code in zip(batch["doc_id"].to_pylist(), coder.encode(texts), strict=True):

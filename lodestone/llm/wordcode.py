@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 
@@ -138,6 +139,17 @@ class WordCoder:
         return out
 
 
+@lru_cache(maxsize=2)
+def coder(path: str, cache_words: int) -> WordCoder:
+    """One coder for all tasks of a worker."""
+    return WordCoder(path, cache_words)
+
+
+@lru_cache(maxsize=2)
+def decoder(path: str) -> Decoder:
+    return Decoder(load(path))
+
+
 class Decoder:
     """ids to text as the library's decode does: the tokens' bytes, joined, invalid UTF-8 replaced."""
 
