@@ -204,7 +204,9 @@ def spans(labels: np.ndarray, langs: list[str]) -> list[dict]:
     return [{"start": a, "end": b, "lang": langs[labels[a]]} for a, b in zip(cut, cut[1:], strict=False)]
 
 
-def _predict(sent, with_spans):
+def _predict(sent, with_spans, known_only=False):
+    """Texts to languages; known_only: the whole rows, without those of score 0."""
+
     def run(it):
         words = Words(sent.value) if sent.value else None
 
@@ -218,6 +220,8 @@ def _predict(sent, with_spans):
                 marks = [spans(x, words.model["langs"]) for x in np.split(labels, np.cumsum(lengths)[:-1])] if with_spans else None
                 if len(words.at) > CACHE:
                     words.reset()
+            if known_only:
+                return table.filter(pa.array(scores, pa.float64()).to_numpy(zero_copy_only=False) > 0)
             extra = [pa.array(marks, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])))] if with_spans else []
             keep = [c for c in table.schema.names if c != "text"]
             return pa.RecordBatch.from_arrays([*(table[c] for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *extra], names=[*keep, "lang_pred", "score", *["spans"] * with_spans])
@@ -252,13 +256,4 @@ def keep_known(docs: DataFrame, folds: int = 5) -> DataFrame:
     model = learn(docs, folds)
     sent = spark.sparkContext.broadcast(model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    inner = _predict(sent, False)
-
-    def run(it):
-        for batch in it:
-            if batch.num_rows:
-                texts = pa.RecordBatch.from_arrays([batch["text"].cast(pa.string())], names=["text"])
-                got = next(iter(inner([texts])))
-                yield batch.filter(pa.compute.greater(got["score"], 0.0))
-
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(_predict(sent, False, known_only=True), schema)

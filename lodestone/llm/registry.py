@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES and ORACLE_SQL.
-MODULES = ("q_bpe", "q_sst", "q_warc", "q_decon", "q_simhash")
+MODULES = ("q_bpe", "q_ann", "q_decon", "q_linededup", "q_sst", "q_simhash", "q_warc", "q_chat", "q_langid", "q_hmm", "q_pipeline")
 
 
 def queries() -> dict:
