@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES = {}
-ORACLE_SQL = {}
+from lodestone.catalog import graph, logs
+
+QUERIES = {**graph.QUERIES, **logs.QUERIES}
+ORACLE_SQL = {**graph.ORACLE_SQL, **logs.ORACLE_SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+    return QUERIES["callers"](spark, sf_dir)
