@@ -67,7 +67,7 @@ def search(nodes: DataFrame, text: str, limit: int = 20) -> DataFrame:
     total = found.agg(F.count("*").alias("total_matches"))
     names = F.element_at(F.array(*[F.lit(t) for t in TIERS]), F.col("tier") + 1)
     top = found.orderBy("tier", F.desc("score"), "id").limit(limit)
-    return top.join(F.broadcast(total)).select("id", "name", "kind", "source_file", names.alias("match_type"), "score", "total_matches")
+    return top.join(F.broadcast(total)).orderBy("tier", F.desc("score"), "id").select("id", "name", "kind", "source_file", names.alias("match_type"), "score", "total_matches")
 
 
 def candidates(nodes: DataFrame, token: str, limit: int = 5) -> DataFrame:

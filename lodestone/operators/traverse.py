@@ -37,7 +37,7 @@ def neighbours(graph: Graph, node: str, out: bool, relations: tuple[str, ...] =
 def listed(rows: DataFrame, cap: int = 200) -> DataFrame:
     """The first `cap` rows by id; each has the total and whether it was cut."""
     total = rows.agg(F.count("*").alias("total"))
-    return rows.orderBy("id").limit(cap).join(F.broadcast(total)).withColumn("truncated", F.col("total") > cap)
+    return rows.orderBy("id").limit(cap).join(F.broadcast(total)).withColumn("truncated", F.col("total") > cap).orderBy("id")
 
 
 def _small(df: DataFrame) -> DataFrame:

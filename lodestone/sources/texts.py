@@ -32,7 +32,7 @@ def scan_files(spark: SparkSession, root: str, most: int = MOST_BYTES) -> DataFr
     rel = F.substring_index(rel, root.rstrip("/") + "/", -1)
     files = files.where(F.col("length") <= most).withColumn("rel_path", rel).where(eligible(F.col("rel_path")))
     files = files.where(~F.expr(f"contains(substring(content, 1, {SNIFF}), X'00')"))
-    return files.select("rel_path", lookup(suffix(F.col("rel_path")), LANGUAGES).alias("language"), F.col("length").alias("size"), F.sha2("content", 256).alias("content_hash"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return files.select("rel_path", lookup(suffix(F.col("rel_path")), LANGUAGES).alias("language"), F.col("length").alias("size"), F.sha2("content", 256).alias("content_hash"), F.decode("content", "UTF-8").alias("text"))
 
 
 def read_bundle(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -66,7 +66,7 @@ def status_events(spark: SparkSession, path: str) -> DataFrame:
 
 def rounds(spark: SparkSession, path: str) -> DataFrame:
     """Round files: number, author, to and body, from the front matter between the first two --- lines."""
-    rows = spark.read.option("wholetext", True).text(path)
+    rows = spark.read.text(path, wholetext=True)
     part = lambda i: F.regexp_extract("value", r"(?s)^---\r?\n(.*?)\r?\n---\r?\n?(.*)$", i)
     field = lambda name: F.regexp_extract(part(1), rf"(?m)^{name}:\s*(.*?)\s*$", 1)
     number = F.regexp_extract(field("round"), r"^(\d+)$", 1)
