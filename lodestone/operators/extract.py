@@ -11,7 +11,7 @@ import ast
 import builtins
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -241,19 +241,20 @@ def extract(files: DataFrame, most_paths: int = 1_000_000) -> tuple[DataFrame, D
     if len(paths) > most_paths:
         raise ValueError("too many files")
     known = spark.sparkContext.broadcast(frozenset(paths))
-    names = [c.strip().split(" ")[0] for c in SCHEMA.split(",")]
+    kinds = {"string": pa.string(), "boolean": pa.bool_(), "double": pa.float64()}
+    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in SCHEMA.split(",")])
 
     def run(it):
-        for pdf in it:
+        for batch in it:
             rows = []
-            for path, language, text in zip(pdf.rel_path, pdf.language, pdf.text, strict=True):
+            for path, language, text in zip(*(batch[c].to_pylist() for c in ("rel_path", "language", "text")), strict=True):
                 try:
                     rows += extract_file(path, language, text or "", known.value)
                 except (SyntaxError, ValueError, RecursionError) as e:
                     rows += [*Found(path).rows, {"tag": "error", "id": path, "name": type(e).__name__}]
-            yield pd.DataFrame(rows, columns=names)
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    found = files.select("rel_path", "language", "text").mapInPandas(run, SCHEMA)
+    found = files.select("rel_path", "language", "text").mapInArrow(run, SCHEMA)
     nodes = found.where("tag = 'node'").select("id", "kind", "name", "source_file", "source_location", F.coalesce("is_method", F.lit(False)).alias("is_method"))
     edges = found.where("tag = 'edge'").select("source", "target", "relation", "source_file", "source_location", "confidence", "called", "weight")
     return nodes, edges, found.where("tag = 'error'").select(F.col("id").alias("subject"), F.col("name").alias("error")).orderBy("subject")
