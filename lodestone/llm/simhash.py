@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import Scratch, components, small_batches
 
 #: Classes of a prefix that meet in one group. Node pairs that one step of a walk may hold.
-BLOCK, FRONTIER = 8192, 1 << 20
+BLOCK, FRONTIER = 16384, 1 << 20
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
