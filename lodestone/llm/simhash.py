@@ -192,6 +192,8 @@ def keep_one(docs: DataFrame, bits: int = 3, shingle: int = 3) -> DataFrame:
     Rows that repeat the smallest doc_id of a group count as copies too: the one with the least text stays.
     """
     found = near_duplicates(docs, bits, shingle).where("doc_id = component_id or component_id is null").select("doc_id").distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
     kept = docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_semi")
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
     return kept.withColumn("sh_first", first).where("sh_first = 1").drop("sh_first")
