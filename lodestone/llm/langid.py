@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import small_batches
 
 PER_LANG, MAX_TRIGRAMS, SWITCH, TOP, CACHE = 3000, 400_000, 12.0, 6.0, 400_000
-#: Rows that one Viterbi pass takes together: at most so many documents, and words.
-DOCS, WORDS = 4096, 3_000_000
+#: Rows that one Viterbi pass takes together: at most about so many documents, and bytes.
+DOCS, BYTES = 4096, 12 << 20
 UND = "und"
 #: First and last code point of scripts' letters (fixed values of Unicode's blocks).
 SCRIPTS = [
@@ -102,37 +102,49 @@ class Words:
 
     def __init__(self, model: dict):
         self.model, self.n = model, len(model["langs"])
+        self.gram = {g: i + 1 for i, g in enumerate(model["grams"])}
+        self.table = np.stack([model["unseen"], *model["grams"].values()])
+        self.script = {s: i + 1 for i, s in enumerate(model["scripts"])}
+        self.fits = np.stack([np.zeros(self.n, bool), *model["scripts"].values()])
         self.reset()
 
     def reset(self):
         self.at: dict[str, int] = {}
-        self.scores, self.letters = np.zeros((1024, self.n), np.float32), np.zeros(1024, np.int32)
-
-    def _score(self, raw: str) -> tuple[np.ndarray, int, int]:
-        """Scores (at best 0), letters, and letters in a learned script."""
-        out, n, known = np.zeros(self.n, np.float32), 0, 0
-        for word in LETTERS.findall(raw.lower()):
-            n += len(word)
-            fits = self.model["scripts"].get(script(word))
-            if fits is None:
-                continue
-            known += len(word)
-            s = sum((self.model["grams"].get(g, self.model["unseen"]) for g in trigrams(word)), np.zeros(self.n, np.float32))
+        self.scores, self.letters = np.zeros((0, self.n), np.float32), np.zeros(0, np.int32)
+
+    def learn(self, new: list[str]) -> None:
+        """Scores (at best 0) of words not seen before, all at once. letters: negative where no script is known."""
+        gram, grams, n_grams, scripts, lengths, n_words = self.gram.get, [], [], [], [], []
+        for raw in new:
+            found = LETTERS.findall(raw.lower())
+            n_words.append(len(found))
+            for word in found:
+                w = f" {word} "
+                grams += [gram(w[i : i + 3], 0) for i in range(len(word))]
+                n_grams.append(len(word))
+                scripts.append(self.script.get(script(word), 0))
+                lengths.append(len(word))
+        scores, letters = np.zeros((len(new), self.n), np.float32), np.zeros(len(new), np.int32)
+        if lengths:
+            s = np.add.reduceat(self.table[np.array(grams, np.int32)], np.cumsum([0, *n_grams[:-1]]), axis=0)
+            fits = self.fits[scripts]
             s = np.where(fits, s, -np.inf)
-            out += np.maximum(s - s.max(), -TOP)
-        return out, n, known
-
-    def rows(self, words: list[str]) -> np.ndarray:
-        at = self.at
-        for w in {w for w in words if w not in at}:
-            i = len(at)
-            if i == len(self.letters):
-                self.scores, self.letters = np.concatenate([self.scores, np.zeros_like(self.scores)]), np.concatenate([self.letters, np.zeros_like(self.letters)])
-            s, n, known = self._score(w)
-            self.scores[i] = s
-            self.letters[i] = n if known else -n
-            at[w] = i
-        return np.fromiter(map(at.__getitem__, words), np.int32, len(words))
+            s = np.where(fits.any(axis=1)[:, None], np.maximum(s - np.maximum(s.max(axis=1), -1e30)[:, None], -TOP), 0)
+            of = np.repeat(np.arange(len(new)), n_words)
+            np.add.at(scores, of, s.astype(np.float32))
+            letters += np.bincount(of, weights=lengths, minlength=len(new)).astype(np.int32)
+            letters *= np.where(np.bincount(of, weights=fits.any(axis=1), minlength=len(new)) > 0, 1, -1).astype(np.int32)
+        self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
+        self.scores, self.letters = np.concatenate([self.scores, scores]), np.concatenate([self.letters, letters])
+
+    def rows(self, split: list[list[str]]) -> list[np.ndarray]:
+        """The places of the words of many texts."""
+        every: set[str] = set()
+        for words in split:
+            every.update(words)
+        self.learn([w for w in every if w not in self.at])
+        get = self.at.__getitem__
+        return [np.fromiter(map(get, words), np.int32, len(words)) for words in split]
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -170,11 +182,8 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
 
 def label(texts: list[str | None], words: Words) -> tuple[list[str], list[float], list[list[tuple[int, int, str]]] | None]:
     """Language, score and word labels of each text."""
-    rows, lengths = [], []
-    for t in texts:
-        r = words.rows((t or "").split())
-        rows.append(r)
-        lengths.append(len(r))
+    rows = words.rows([(t or "").split() for t in texts])
+    lengths = [len(r) for r in rows]
     rows, lengths = np.concatenate(rows) if rows else np.zeros(0, np.int32), np.array(lengths, np.int64)
     labels = viterbi(words.scores[rows], lengths)
     letters = words.letters[rows]
@@ -231,7 +240,7 @@ def _predict(sent, with_spans, known_only=False):
             if batch.num_rows:
                 held.append(batch)
                 n, size = n + batch.num_rows, size + batch["text"].nbytes
-                if n >= DOCS or size >= 6 * WORDS:
+                if n >= DOCS or size >= BYTES:
                     yield emit(held)
                     held, n, size = [], 0, 0
         if held:
