@@ -80,6 +80,7 @@ def imports_only(g: Graph) -> Graph:
 
 def listing(spark, sf_dir, token, out, relations=()) -> DataFrame:
     g = commerce(spark, sf_dir)
+    g = Graph(traverse.checkpointed(g.nodes), g.edges)
     node = search.resolve_id(g.nodes, token)
     rows = traverse.listed(traverse.neighbours(g, node, out, relations))
     return rows.select("id", "name", "kind", "relation", "weight", "total", "truncated")
@@ -186,7 +187,7 @@ def search_tiers(spark, sf_dir):
 
 
 def resolve_cascade(spark, sf_dir):
-    nodes = commerce(spark, sf_dir).nodes
+    nodes = traverse.checkpointed(commerce(spark, sf_dir).nodes)
     out = None
     for token in ("part_3", "ASIA", "supplier/3.go", "tests/20.py", "omer_1", "nothing at all"):
         found = search.resolve(nodes, token).select(F.lit(token).alias("token"), "place", "id", "match_type")
@@ -198,8 +199,8 @@ def _resolve_sql() -> str:
     out = []
     for token in ("part_3", "asia", "supplier/3.go", "tests/20.py", "omer_1", "nothing at all"):
         raw = "ASIA" if token == "asia" else token
-        out.append(f"""SELECT '{raw}' AS token, place - 1 AS place, id, way AS w FROM (SELECT *, row_number() OVER (ORDER BY (id <> first(id) OVER (ORDER BY (way = 2 AND kind <> 'file'), a, id)), a, id) AS place FROM
-            (SELECT *, min(way) OVER () AS least FROM (SELECT id, kind, CASE WHEN id = '{token}' THEN 0 WHEN lower(name) = '{token}' THEN 1 WHEN ends_with(coalesce(source_file, ''), '{token}') THEN 2 WHEN contains(id, '{token}') THEN 3 END AS way,
+        out.append(f"""SELECT '{raw}' AS token, place - 1 AS place, id, way AS w FROM (SELECT *, row_number() OVER (ORDER BY (r <> 1), a, id) AS place FROM
+            (SELECT *, min(way) OVER () AS least, row_number() OVER (ORDER BY way, (way = 2 AND kind <> 'file'), a, id) AS r FROM (SELECT id, kind, CASE WHEN id = '{token}' THEN 0 WHEN lower(name) = '{token}' THEN 1 WHEN ends_with(coalesce(source_file, ''), '{token}') THEN 2 WHEN contains(id, '{token}') THEN 3 END AS way,
              CASE WHEN id = '{token}' THEN 0 WHEN lower(name) = '{token}' THEN length(source_file) - length(replace(source_file, '/', '')) WHEN ends_with(coalesce(source_file, ''), '{token}') THEN 0 ELSE length(id) END AS a FROM nodes) WHERE way IS NOT NULL) WHERE way = least)
             WHERE place <= CASE way WHEN 0 THEN 1 WHEN 2 THEN 5 ELSE 4 END""")
     return f"WITH {G}, r AS ({' UNION ALL '.join(out)}) SELECT token, CAST(place AS INTEGER) AS place, id, CASE w WHEN 0 THEN 'exact-id' WHEN 1 THEN 'name' WHEN 2 THEN 'path-suffix' ELSE 'fuzzy' END AS match_type FROM r"
@@ -266,7 +267,7 @@ ORACLE_SQL = {
     "stats_relations": f"WITH {G} SELECT relation, count(*) AS n FROM edges GROUP BY relation",
     "density": f"WITH {G} SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM edges) / CAST((SELECT count(*) FROM nodes) * ((SELECT count(*) FROM nodes) - 1) AS DOUBLE) AS density",
     "degree_rank": f"WITH {G} SELECT id, kind, in_degree, out_degree, in_degree + out_degree AS degree FROM deg WHERE {PROJECT} ORDER BY degree DESC, id LIMIT 20",
-    "orphans": f"WITH {G} SELECT id, kind, source_file FROM nodes WHERE {PROJECT} AND id NOT IN (SELECT unnest([source, target]) FROM edges WHERE relation IN ('imports', 'contains')) ORDER BY id LIMIT 20",
+    "orphans": f"WITH {G} SELECT id, kind, source_file FROM nodes WHERE {PROJECT} AND id NOT IN (SELECT source FROM edges WHERE relation IN ('imports', 'contains') UNION ALL SELECT target FROM edges WHERE relation IN ('imports', 'contains')) ORDER BY id LIMIT 20",
     "entry_points": f"WITH {G} SELECT id, in_degree, out_degree, out_degree / CAST(greatest(in_degree, 1) AS DOUBLE) AS ratio FROM deg WHERE kind = 'file' AND out_degree > 0 ORDER BY ratio DESC, id LIMIT 20",
     "top_files": f"WITH {G} SELECT id, source_file, in_degree + out_degree AS degree FROM deg WHERE kind = 'file' ORDER BY degree DESC, id LIMIT 20",
     "surprising": f"""WITH {G}, p AS (SELECT source, target, relation FROM edges WHERE target IN (SELECT id FROM raw_nodes)),

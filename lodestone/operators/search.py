@@ -92,13 +92,17 @@ def resolve(nodes: DataFrame, token: str) -> DataFrame:
         .when(F.col("id").contains(token), F.struct(F.lit(3).alias("way"), F.length("id").alias("a")))
     )
     found = nodes.select("id", "kind", way.alias("w")).where("w is not null")
-    # An exact id or a name may also be a path suffix, but a later way counts only where no earlier one finds anything.
-    first = found.agg(F.min("w.way").alias("way"))
-    found = found.select("id", "kind", "w.*").join(F.broadcast(first), "way")
-    chosen = found.orderBy(F.when((F.col("way") == 2) & (F.col("kind") != "file"), 1).otherwise(0), "a", "id").limit(1).select(F.col("id").alias("chosen"))
+    # A later way counts only where no earlier one finds anything. Seven rows hold the answer: the first of the first way,
+    # files before others, and the six least of it by depth or length, then id.
+    found = found.select("id", "kind", "w.*")
+    plain = ["way", "a", "id"]
+    lead = found.orderBy("way", F.when((F.col("way") == 2) & (F.col("kind") != "file"), 1).otherwise(0), "a", "id").limit(1)
+    few = lead.withColumn("lead", F.lit(1)).union(found.orderBy(*plain).limit(6).withColumn("lead", F.lit(0)))
+    few = few.groupBy("id", "way", "a").agg(F.max("lead").alias("lead"))
+    least = F.min("way").over(Window.partitionBy())
+    rest = few.withColumn("least", least).where("way = least")
     keep = F.when(F.col("way") == 0, 1).when(F.col("way") == 2, 5).otherwise(4)
-    rest = found.join(F.broadcast(chosen)).orderBy((F.col("id") != F.col("chosen")).cast("int"), "a", "id").limit(5)
-    place = F.row_number().over(Window.orderBy((F.col("id") != F.col("chosen")).cast("int"), "a", "id"))  # five rows
+    place = F.row_number().over(Window.orderBy(F.desc("lead"), "a", "id"))  # seven rows
     names = F.element_at(F.array(*[F.lit(x) for x in ("exact-id", "name", "path-suffix", "fuzzy")]), F.col("way") + 1)
     return rest.withColumn("place", place).where(F.col("place") <= keep).select((F.col("place") - 1).alias("place"), "id", names.alias("match_type"))
 
