@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import Scratch
 
-SAMPLE, QUANTILE, WIDTH, SLOTS, BLOCK, PER_BUCKET = 2048, 0.1, 1.0, 6, 4096, 512
+SAMPLE, QUANTILE, WIDTH, SLOTS, BLOCK, PER_BUCKET = 2048, 0.1, 1.0, 6, 4096, 2048
 TABLES, SUCCESS, SEED = 2, 0.985, 20240607
 
 
@@ -188,7 +188,9 @@ def search(rows: DataFrame, is_query, k: int = 5, tables: int = TABLES, success:
     best = Window.partitionBy("q").orderBy(F.desc("score"), "id", "rep")
 
     def merged(found):
-        found = found.distinct().groupBy("q", "rep").agg(F.max("score").alias("score")).join(classes.select("rep", "id", "ids"), "rep")
+        found = found.groupBy("q", "rep").agg(F.max("score").alias("score"))
+        high = F.rank().over(Window.partitionBy("q").orderBy(F.desc("score")))  # ties stay until their ids are known
+        found = found.withColumn("high", high).where(F.col("high") <= keep).drop("high").join(classes.select("rep", "id", "ids"), "rep")
         return scratch.cut(found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= keep).select("q", "ids", "score"))
 
     got = merged(_blocks(base, asked.mapInArrow(_probe(width, tables, cos, success), schema), keep))
