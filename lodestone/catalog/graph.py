@@ -158,7 +158,7 @@ def method_dispatch(spark, sf_dir):
     name = F.concat(F.col("p_brand"), F.lit("_"), F.col("p_size").cast("string"))
     key = F.col("p_partkey").cast("long")
     nodes = part.where("p_partkey % 7 <> 0").select(tables.id_of("part", key).alias("id"), name.alias("name"), tables.path_of("part", key).alias("source_file"), F.lit(True).alias("is_method"))
-    calls = lines.where("l_linenumber = 1").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    calls = lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
     order = F.col("l_orderkey").cast("long")
     edges = calls.select(tables.id_of("orders", order).alias("source"), tables.id_of("part", key).alias("target"), F.lit("calls").alias("relation"), F.when(key % 14 == 0, "EXTERNAL_CALL").otherwise("LOCAL_CALL").alias("confidence"), tables.path_of("orders", order).alias("source_file"), F.upper(name).alias("called"))
     imports = edges.select("source_file", F.lit("src/part/4.py").alias("target_file")).distinct()

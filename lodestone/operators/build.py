@@ -74,7 +74,8 @@ def dispatch_methods(edges: DataFrame, nodes: DataFrame, imports: DataFrame, mos
     edges: source, target, relation, confidence, source_file, called. nodes: id, name, source_file, is_method. imports:
     (source_file, target_file). Outside calls stay. A candidate must be of the caller's interop family; a Python caller
     must share its file or import it. One to `most` candidates: an edge to each. Otherwise the edge stays if its target
-    is a known node, and goes if not. The gates come before the count.
+    is a known node, and goes if not. The gates come before the count. Equal edges are each sent on; a candidate counts
+    once for all of them.
     """
     from lodestone.functions.columns import edge_language, interop_family
 
@@ -85,7 +86,7 @@ def dispatch_methods(edges: DataFrame, nodes: DataFrame, imports: DataFrame, mos
     near = imports.select("source_file", F.col("target_file").alias("method_file")).distinct().withColumn("near", F.lit(True))
     found = found.join(near, ["source_file", "method_file"], "left")
     found = found.where((edge_language(F.col("source_file")) != "python") | (F.col("source_file") == F.col("method_file")) | F.col("near"))
-    found = found.withColumn("n", F.count("*").over(Window.partitionBy("eid"))).where(F.col("n") <= most)
+    found = found.withColumn("n", F.size(F.collect_set("method").over(Window.partitionBy("eid")))).where(F.col("n") <= most)
     sent = found.select(*[F.col("method").alias("target") if c == "target" else F.col(c) for c in edges.columns])
     known = nodes.select(F.col("id").alias("target")).distinct().withColumn("known", F.lit(True))
     rest = edges.join(sent.select("eid").distinct(), "eid", "left_anti").join(known, "target", "left")

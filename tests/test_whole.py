@@ -1,6 +1,7 @@
 """Registered queries of the graph engine over rows that a filter or a cap in them would leave out."""
 
 from lodestone import registry
+from lodestone.operators.build import dispatch_methods
 
 
 def stored(spark, tmp_path, **tables):
@@ -13,3 +14,21 @@ def test_worst_status_reads_every_event(spark, tmp_path):
     rows = [(7, 1, "signup"), (8, 1, "error"), (9, 2, "purchase"), (10, 2, "view"), (14, 3, "click")]
     at = stored(spark, tmp_path, events=(rows, "event_id long, user_id long, event_type string"))
     assert {r.user_id: r.status for r in registry.QUERIES["worst_status"](spark, at).collect()} == {1: "blocked", 2: "degraded", 3: "ready"}
+
+
+def test_method_dispatch_sends_every_line(spark, tmp_path):
+    """Order 1 calls part 1 twice, which shares its name with part 5, and part 2 in its last line."""
+    parts = [(1, "A", 1), (5, "A", 1), (2, "B", 1)]
+    lines = [(1, 1, 1), (1, 1, 2), (1, 2, 3), (5, 1, 2)]
+    at = stored(spark, tmp_path, part=(parts, "p_partkey long, p_brand string, p_size int"), lineitem=(lines, "l_orderkey long, l_partkey long, l_linenumber int"))
+    got = sorted((r.source, r.target) for r in registry.QUERIES["method_dispatch"](spark, at).collect())
+    # Part 2 is of another language than order 1, so that call stays as it is.
+    assert got == sorted([("orders_1", "part_1"), ("orders_1", "part_5")] * 2 + [("orders_1", "part_2")] + [("orders_5", "part_1"), ("orders_5", "part_5")])
+
+
+def test_equal_calls_share_the_cap(spark):
+    nodes = spark.createDataFrame([(f"m{i}", "run", "a.ts", True) for i in range(3)], "id string, name string, source_file string, is_method boolean")
+    edges = spark.createDataFrame([("x", "run", "calls", "LOCAL_CALL", "b.ts", "run")] * 2, "source string, target string, relation string, confidence string, source_file string, called string")
+    imports = spark.createDataFrame([], "source_file string, target_file string")
+    assert sorted(r.target for r in dispatch_methods(edges, nodes, imports).collect()) == ["m0", "m0", "m1", "m1", "m2", "m2"]
+    assert dispatch_methods(edges, nodes, imports, most=2).count() == 0
