@@ -32,3 +32,11 @@ def test_equal_calls_share_the_cap(spark):
     imports = spark.createDataFrame([], "source_file string, target_file string")
     assert sorted(r.target for r in dispatch_methods(edges, nodes, imports).collect()) == ["m0", "m0", "m1", "m1", "m2", "m2"]
     assert dispatch_methods(edges, nodes, imports, most=2).count() == 0
+
+
+def test_longest_prefix_registers_every_customer(spark, tmp_path):
+    rows = [(k, f"Customer#{k:09d}") for k in range(1, 200)]
+    at = stored(spark, tmp_path, customer=(rows, "c_custkey long, c_name string"))
+    prefixes = {name[: 10 + k % 9] for k, name in rows}
+    want = {name: max((name[:n] for n in range(len(name) + 1) if name[:n] in prefixes), key=len, default=None) for _, name in rows}
+    assert {r.name: r.prefix for r in registry.QUERIES["longest_prefix"](spark, at).collect()} == want
