@@ -102,9 +102,10 @@ def reach(spark, sf_dir):
 
 
 def reach_undirected(spark, sf_dir):
+    """A nation's component, whole."""
     g = commerce(spark, sf_dir)
     only = g.edges.where(has_relation("imports", "contains"))
-    return traverse.neighbourhood(only, traverse.starts_of(g.nodes, ["nation_3"]), most=500, depth=4)[0]
+    return traverse.reachable(only, traverse.starts_of(g.nodes, ["nation_3"]), None, undirected=True)
 
 
 def path_lexmin(spark, sf_dir, relations=()):

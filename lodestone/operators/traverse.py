@@ -7,6 +7,8 @@ as small; a large one is shuffled on the node.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,8 +46,8 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
 
 
-def reachable(edges: DataFrame, starts: DataFrame, depth: int, backwards: bool = False, undirected: bool = False) -> DataFrame:
-    """(id, depth) of every node within `depth` steps of the starts, these included at 0."""
+def reachable(edges: DataFrame, starts: DataFrame, depth: int | None, backwards: bool = False, undirected: bool = False) -> DataFrame:
+    """(id, depth) of every node within `depth` steps of the starts, or any number (None), these included at 0."""
     step = edges.select(F.col("source").alias("a"), F.col("target").alias("b"))
     if undirected:
         step = step.union(step.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -53,7 +55,7 @@ def reachable(edges: DataFrame, starts: DataFrame, depth: int, backwards: bool =
         step = step.select(F.col("b").alias("a"), F.col("a").alias("b"))
     seen = checkpointed(starts.select("id").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
-    for d in range(1, depth + 1):
+    for d in count(1) if depth is None else range(1, depth + 1):
         new = step.join(_small(frontier.select(F.col("id").alias("a"))), "a").select(F.col("b").alias("id")).distinct()
         new = checkpointed(new.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(d)))
         if new.isEmpty():

@@ -40,3 +40,21 @@ def test_longest_prefix_registers_every_customer(spark, tmp_path):
     prefixes = {name[: 10 + k % 9] for k, name in rows}
     want = {name: max((name[:n] for n in range(len(name) + 1) if name[:n] in prefixes), key=len, default=None) for _, name in rows}
     assert {r.name: r.prefix for r in registry.QUERIES["longest_prefix"](spark, at).collect()} == want
+
+
+def test_reach_component_is_whole(spark, tmp_path):
+    person = "{0}_custkey long, {0}_name string, {0}_nationkey int"
+    at = stored(
+        spark,
+        tmp_path,
+        region=([(1, "ASIA"), (2, "EUROPE")], "r_regionkey int, r_name string"),
+        nation=([(3, "INDIA", 1), (4, "JAPAN", 1), (5, "FRANCE", 2)], "n_nationkey int, n_name string, n_regionkey int"),
+        customer=([(k, f"c{k}", 3 + k % 3) for k in range(900)], person.format("c")),
+        supplier=([(1, "s", 4)], person.format("s").replace("s_custkey", "s_suppkey")),
+        part=([], "p_partkey long, p_name string, p_brand string, p_size int"),
+        orders=([], "o_orderkey long, o_custkey long"),
+        lineitem=([], "l_orderkey long, l_partkey long, l_suppkey long, l_returnflag string"),
+    )
+    got = [(r.id, r.depth) for r in registry.QUERIES["reach_component"](spark, at).collect()]
+    want = [("nation_3", 0), ("region_1", 1), ("nation_4", 2), ("supplier_1", 3)] + [(f"customer_{k}", 1 if k % 3 == 0 else 3) for k in range(900) if k % 3 < 2]
+    assert sorted(got) == sorted(want)
