@@ -23,7 +23,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import Scratch, components, small_batches
@@ -53,7 +53,8 @@ def _fingerprints(shingle):
     def run(it):
         for batch in it:
             got = np.array([fingerprint(t, shingle) for t in batch["text"].to_pylist()], "<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(got, pa.int64())], names=["doc_id", "fp"])
+            keep = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(got, pa.int64())], names=[*keep, "fp"])
 
     return run
 
@@ -186,14 +187,34 @@ def near_duplicates(docs: DataFrame, bits: int = 3, shingle: int = 3, block: int
     return fps.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
+def _row_key():
+    """16 bytes for doc_id and text. Rows that agree in both are exact copies; a null text is an empty one."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return F.unhex(F.md5(F.concat_ws(" ", text("doc_id"), text("text"))))
+
+
 def keep_one(docs: DataFrame, bits: int = 3, shingle: int = 3) -> DataFrame:
-    """docs without the documents that link, over any steps, to one with a smaller doc_id.
+    """One row of each component of linked fingerprints: the one with the smallest doc_id, a null one last.
 
-    Rows that repeat the smallest doc_id of a group count as copies too: the one with the least text stays.
+    Rows go by their own fingerprints: those that repeat a doc_id, or have none, are copies only where they link. Of
+    rows of one component that share its smallest doc_id, the one with the least hash of its text stays.
     """
-    found = near_duplicates(docs, bits, shingle).where("doc_id = component_id or component_id is null").select("doc_id").distinct()
-    kept = docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_semi")
-    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return kept.withColumn("sh_first", first).where("sh_first = 1").drop("sh_first")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "simhash")
+    small_batches(spark)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key().alias("key"), F.col("text").cast("string").alias("text"))
+    fps = scratch.cut(rows.mapInArrow(_fingerprints(shingle), "doc_id long, key binary, fp long"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    classes = scratch.cut(fps.groupBy("fp").agg(F.min(order).alias("first")))
+    comps = components(spark, links(classes.select("fp"), bits), scratch)
+    rooted = classes.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    chosen = scratch.cut(rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("sh_key")))
+    keyed = docs.withColumn("sh_key", _row_key())
+    twice = scratch.cut(fps.groupBy(F.col("key").alias("sh_key")).count().where("count > 1").select("sh_key").join(chosen, "sh_key", "left_semi"))
+    if twice.isEmpty():
+        return keyed.join(chosen, "sh_key", "left_semi").drop("sh_key")
+    # Exact copies of a chosen row: the least by the other columns stays.
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    least = F.struct(F.col("text").isNotNull().alias("some"), F.to_json(F.struct(*rest)) if rest else F.lit(""))
+    copies = keyed.join(twice, "sh_key", "left_semi").groupBy("sh_key").agg(F.min_by(F.struct(*docs.columns), least).alias("row")).select("row.*")
+    return keyed.join(chosen.join(twice, "sh_key", "left_anti"), "sh_key", "left_semi").drop("sh_key").unionByName(copies)
