@@ -5,10 +5,12 @@ what a rendering adds to the one before is the newest turn's span. If a renderin
 the template rewrites history: this is reported, and the turns touched have no span. Within a span the text is found by
 rendering the turn twice more with other texts: what these share at both ends is the template's, the rest is the text's.
 
-Conversations are streamed in order of their turns. While a template keeps its history, only the last turns are held:
-after PREFIX turns the renderings start anew from the last KEEP ones if the next turn comes out the same from either
-start. A long conversation thus takes bounded memory and time in proportion to its length; whole=True renders all its
-prefixes instead. Output comes in blocks of about BLOCK characters.
+Conversations are streamed in order of their turns. Of a template declared local (render.local = True: a turn's piece
+depends on no other turn but the few before it) only the last turns are held: after PREFIX turns the renderings start
+anew from the last KEEP ones if the next turn comes out the same from either start. A long conversation thus takes
+bounded memory and time in proportion to its length. Of any other template all prefixes are rendered, however many, so
+a rewrite is found wherever it comes; whole says so, or the opposite, for one call. Output comes in blocks of about
+BLOCK characters.
 
 The template here marks turns and puts a backslash into control strings that occur in texts, and doubles backslashes;
 unescape() undoes this.
@@ -52,6 +54,9 @@ def template(turns: list[Turn]) -> str:
     return "".join(f"{START}{quote(role, safe=' ')}\n{escape(text)}{END}\n" for role, text in turns)
 
 
+template.local = True
+
+
 def parse(piece: str) -> Turn:
     """A turn from its whole piece of the template's output."""
     if not piece.startswith(START) or not piece.endswith(f"{END}\n"):
@@ -204,9 +209,10 @@ def _format(render, trained, whole):
     return run
 
 
-def format_chats(rows: DataFrame, render: Callable[[list[Turn]], str] = template, trained: str = "assistant", whole: bool = False) -> DataFrame:
+def format_chats(rows: DataFrame, render: Callable[[list[Turn]], str] = template, trained: str = "assistant", whole: bool | None = None) -> DataFrame:
     """Blocks of every conversation's output: conv_id, block, text, turn_ends, loss (spans of the trained role's texts), rewritten_at."""
     spark = rows.sparkSession
+    whole = not getattr(render, "local", False) if whole is None else whole
     small_batches(spark)
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     turns = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), text("role"), text("text"))

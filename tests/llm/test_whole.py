@@ -2,7 +2,7 @@
 
 import random
 
-from lodestone.llm import simhash
+from lodestone.llm import chat, langid, simhash
 
 
 def test_rows_without_ids_of_their_own_stay(spark):
@@ -18,3 +18,19 @@ def test_rows_without_ids_of_their_own_stay(spark):
     assert kept.columns == df.columns
     assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, want))
     assert simhash.keep_one(df.limit(0)).count() == 0
+
+
+def test_late_rewrites_are_found(spark):
+    turns = [(1, i, "user", f"t{i}") for i in range(130)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+
+    def late(ts):
+        return chat.template(ts[-100:])
+
+    def last(ts):
+        return "".join(f"{t if i == len(ts) - 1 else '-'};" for i, (_, t) in enumerate(ts))
+
+    for render, first in ((late, 100), (last, 1)):
+        rows = chat.format_chats(df, render).collect()
+        assert len(rows) == 1 and rows[0].rewritten_at[0] == first
+        assert rows[0].text == render([(r, t) for _, _, r, t in turns])
