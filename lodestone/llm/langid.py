@@ -1,7 +1,8 @@
 """Language identification of mixed texts: scripts, word scores, Viterbi.
 
 Learning: from labelled rows, about PER_LANG for each language by a hash of doc_id (the bound of the fit; all rows
-where there are fewer), counts of the letter trigrams of their words and of the scripts they use.
+where there are fewer), counts of the letter trigrams of their words and of the scripts they use. Every label is a
+language, and every count of the sample is used.
 Prediction: a word's script leaves the languages that use it; each of these scores the word by its trigrams. A Viterbi
 pass over the words, which pays SWITCH for each change of language, labels every word, and so the spans. The text's
 language is the one with most letters in its spans; the score is its share of all letters.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import small_batches
 
-PER_LANG, MAX_TRIGRAMS, SWITCH, TOP, CACHE = 3000, 400_000, 12.0, 6.0, 400_000
+PER_LANG, SWITCH, TOP, CACHE = 3000, 12.0, 6.0, 400_000
 #: Rows that one Viterbi pass takes together: at most about so many documents, and bytes.
 DOCS, BYTES = 4096, 12 << 20
 UND = "und"
@@ -71,13 +72,13 @@ def learn(docs: DataFrame, folds: int = 5, per_lang: int = PER_LANG) -> dict | N
     """The model, from the rows that are not held out; None where there are none."""
     small_batches(docs.sparkSession)
     rows = docs.where(~held_out(docs, folds) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(512).toLocalIterator()}
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).toLocalIterator()}
     if not sizes:
         return None
-    least = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(int(per_lang / n * 2**30)))])
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(2**30)) < least[F.col("lang")]).select("lang", "text")
+    least = docs.sparkSession.createDataFrame([(k, int(per_lang / n * 2**30)) for k, n in sizes.items()], "lang string, least long")
+    sample = rows.join(F.broadcast(least), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(2**30)) < F.col("least")).select("lang", "text")
     counts = sample.mapInArrow(_count, "lang string, what string, item string, n long").groupBy("lang", "what", "item").agg(F.sum("n").alias("n"))
-    return fit(((r.lang, r.what, r.item, r.n) for r in counts.orderBy(F.desc("n"), "lang", "what", "item").limit(MAX_TRIGRAMS).toLocalIterator()), sizes)
+    return fit(((r.lang, r.what, r.item, r.n) for r in counts.toLocalIterator()), sizes)
 
 
 def fit(counts, sizes: dict[str, int]) -> dict:
@@ -149,15 +150,16 @@ class Words:
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """The best labels of texts laid end to end; all texts take a step together."""
+    kind = np.min_scalar_type(max(scores.shape[1] - 1, 0))
     if not len(scores):
-        return np.zeros(0, np.uint8)
+        return np.zeros(0, kind)
     order = np.argsort(-lengths, kind="stable")
     starts = (np.cumsum(lengths) - lengths)[order]
     lengths = lengths[order]
     n_lang = scores.shape[1]
-    labels, back = np.zeros(len(scores), np.uint8), np.zeros((len(scores), n_lang), np.uint8)
+    labels, back = np.zeros(len(scores), kind), np.zeros((len(scores), n_lang), kind)
     active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # texts longer than t
-    own = np.arange(n_lang, dtype=np.uint8)
+    own = np.arange(n_lang, dtype=kind)
     best = np.zeros((len(lengths), n_lang), np.float32)
     for t, n in enumerate(active.tolist()):
         at = starts[:n] + t
@@ -167,10 +169,10 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
             high = v[np.arange(n), top][:, None]
             v -= high  # at best 0, so long texts keep their precision
             change = v < -switch
-            back[at] = np.where(change, top[:, None].astype(np.uint8), own)
+            back[at] = np.where(change, top[:, None].astype(kind), own)
             np.maximum(v, -switch, out=v)
         v += scores[at]
-    now = best.argmax(axis=1).astype(np.uint8)
+    now = best.argmax(axis=1).astype(kind)
     for t in range(len(active) - 1, -1, -1):
         n = active[t]
         at = starts[:n] + t
@@ -214,7 +216,7 @@ def spans(labels: np.ndarray, langs: list[str]) -> list[dict]:
 
 
 def _predict(sent, with_spans, known_only=False):
-    """Texts to languages; known_only: the whole rows, without those of score 0."""
+    """Texts to languages; known_only: the whole rows, without those of score 0, or of no letter where nothing was learned."""
 
     def run(it):
         words = Words(sent.value) if sent.value else None
@@ -223,7 +225,7 @@ def _predict(sent, with_spans, known_only=False):
             table = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
             texts = table["text"].to_pylist()
             if words is None:
-                langs, scores, marks = [UND] * len(texts), [0.0] * len(texts), [[] for _ in texts]
+                langs, scores, marks = [UND] * len(texts), [float(known_only and bool(LETTERS.search(t or ""))) for t in texts], [[] for _ in texts]
             else:
                 langs, scores, labels, lengths = label(texts, words)
                 marks = [spans(x, words.model["langs"]) for x in np.split(labels, np.cumsum(lengths)[:-1])] if with_spans else None
@@ -260,7 +262,10 @@ def identify(docs: DataFrame, model: dict | None, with_spans: bool = False) -> D
 
 
 def keep_known(docs: DataFrame, folds: int = 5) -> DataFrame:
-    """docs, all their columns, without the rows whose text has no word in the script of a learned language."""
+    """docs, all their columns, without the rows whose text has no word in the script of a learned language.
+
+    Where nothing was learned, any letter will do.
+    """
     spark = docs.sparkSession
     model = learn(docs, folds)
     sent = spark.sparkContext.broadcast(model)

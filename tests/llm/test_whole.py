@@ -34,3 +34,18 @@ def test_late_rewrites_are_found(spark):
         rows = chat.format_chats(df, render).collect()
         assert len(rows) == 1 and rows[0].rewritten_at[0] == first
         assert rows[0].text == render([(r, t) for _, _, r, t in turns])
+
+
+def test_every_language_is_learned(spark):
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    rows = [(i * 3 + k, f"{name(i) * 2} " * 5, f"l{i:03d}") for i in range(600) for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(df, folds=10**6)
+    assert len(model["langs"]) == 600
+    got = {r.doc_id: r.lang_pred for r in langid.identify(df, model).collect()}
+    assert all(got[i] == lang for i, _, lang in rows)
+
+
+def test_documents_stay_where_nothing_was_learned(spark):
+    df = spark.createDataFrame([(1, "the house", None), (2, "12 !", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in langid.keep_known(df).collect()] == [1]
