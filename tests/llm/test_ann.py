@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm import ann
@@ -17,7 +18,7 @@ def brute(rows, k=5):
 
 
 def found(spark, rows, **more):
-    df = spark.createDataFrame([(int(i), v, "x") for i, v in rows], "vec_id long, embedding array<float>, rep string")
+    df = spark.createDataFrame([(i if i is None else int(i), v, "x") for i, v in rows], "vec_id long, embedding array<float>, rep string")
     out = {}
     for r in ann.search(df.repartition(3), F.col("vec_id") % 50 == 0, **more).orderBy("query_id", "rank").collect():
         out.setdefault(r.query_id, []).append((r.vec_id, r.score))
@@ -25,13 +26,13 @@ def found(spark, rows, **more):
     return out
 
 
-def test_small_is_exact(spark):
+def test_all_buckets_are_exact(spark):
     rng = np.random.default_rng(0)
     x = rng.integers(-3, 4, (300, 4)).astype(np.float32)
     x[5:60] = x[4]
     rows = [(i, v.tolist()) for i, v in enumerate(x) if v.any()]
-    odd = [(9000, None), (9050, [0.0] * 4), (9100, [1.0, None, 2.0, 3.0]), (9150, [float("nan")] * 4), (9200, [float("inf"), 0.0, 0.0, 0.0]), (9250, []), (9300, [1.0, 2.0])]
-    got, want = found(spark, rows + odd), brute(rows)
+    odd = [(9000, None), (9050, [0.0] * 4), (9100, [1.0, None, 2.0, 3.0]), (9150, [float("nan")] * 4), (9200, [float("inf"), 0.0, 0.0, 0.0]), (9250, []), (9300, [1.0, 2.0]), (None, [1.0] * 4)]
+    got, want = found(spark, rows + odd, success=1.0), brute(rows)
     assert got.keys() == want.keys()
     for q in want:
         assert [round(s, 9) for _, s in got[q]] == [round(s, 9) for _, s in want[q]]
@@ -39,13 +40,43 @@ def test_small_is_exact(spark):
     assert found(spark, []) == {}
 
 
-def test_recall(spark):
+def test_repeated_ids_and_starved_queries(spark):
+    rng = np.random.default_rng(2)
+    near = rng.standard_normal((40, 8))
+    # 50 stands for two vectors; 100 lies opposite all others, so what it visits first is empty.
+    rows = [(i + 1, v.tolist()) for i, v in enumerate(near)] + [(50, near[0].tolist()), (50, near[1].tolist()), (100, (-near.mean(axis=0)).tolist())]
+    got = found(spark, rows)
+    assert {j for j, _ in got[50]} >= {1, 2} and 50 not in {j for j, _ in got[50]}
+    assert [len(got[q]) for q in (50, 100)] == [5, 5]
+
+
+@pytest.mark.parametrize("clustered", [True, False])
+def test_recall_and_visited_share(spark, clustered):
+    """50,000 vectors, 13 projections a table: clustered ones visit few buckets, evenly spread ones many."""
     rng = np.random.default_rng(1)
-    x = rng.standard_normal((6000, 64)).astype(np.float32)
-    x[1000:1400] = x[7] + 0.01 * rng.standard_normal((400, 64))
+    n = 50_000
+    x = rng.standard_normal((n, 64)).astype(np.float32)
+    if clustered:
+        centres = rng.standard_normal((1000, 64))
+        x = (centres[rng.integers(0, 1000, n)] + 0.3 * x).astype(np.float32)
     x[2000:2300] = x[9]
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    got, want = found(spark, rows), brute(rows)
-    hits = sum(len({j for j, _ in got[q]} & {j for j, _ in want[q]}) for q in want)
-    assert got.keys() == want.keys() and all(len(g) == 5 for g in got.values())
-    assert hits / sum(map(len, want.values())) >= 0.93
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    ask = F.col("vec_id") % 500 == 0
+    out = ann.search(df, ask).collect()
+    got, visited = {}, {}
+    for r in out:
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+        visited[r.query_id] = r.visited
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, n, 500):
+        s = u[q].astype(float) @ u.T.astype(float)
+        s[q] = -2
+        top = np.lexsort((np.arange(n), -np.round(s, 9)))[:5]
+        hits += len(got[q] & set(top.tolist()))
+    share = np.mean(list(visited.values())) / ann.TABLES / n
+    print("recall", hits / 500, "visited share a table", share)
+    assert len(got) == 100 and all(len(g) == 5 for g in got.values())
+    assert hits / 500 >= 0.9
+    assert share < (0.02 if clustered else 0.42)
