@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import re
 import zlib
-from functools import lru_cache
 
 import numpy as np
 
+from lodestone.llm.common import kept
+
 SPLIT = re.compile(r" (?<=\S )(?=\S)")
 
 
@@ -139,15 +140,13 @@ class WordCoder:
         return out
 
 
-@lru_cache(maxsize=2)
 def coder(path: str, cache_words: int) -> WordCoder:
-    """One coder for all tasks of a worker."""
-    return WordCoder(path, cache_words)
+    """One coder for all tasks of a worker, until another operator runs there."""
+    return kept("bpe", ("coder", path, cache_words), lambda: WordCoder(path, cache_words))
 
 
-@lru_cache(maxsize=2)
 def decoder(path: str) -> Decoder:
-    return Decoder(load(path))
+    return kept("bpe", ("decoder", path), lambda: Decoder(load(path)))
 
 
 class Decoder:
