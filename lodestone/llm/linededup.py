@@ -15,7 +15,11 @@ then by a hash of the text where rows share a doc_id, then by line.
 
 Defined cases: a null text stays null and has no lines. An empty text is one empty line. Rows that repeat both doc_id
 and text are one document and get one answer. A text whose lines all go becomes empty. No rows: no result. Columns
-other than doc_id and text pass through; helper columns begin with ld_ and replace any that are called so.
+other than doc_id and text pass through, whatever their names; only ld_lines and ld_removed are replaced, if asked for.
+
+A line, run or pair of ranks may hold any share of the rows: such a key's rows are split (split_join), and rows without a
+pair of ranks go round the join. Doubling stops at the depth that the longest deciding run needs; the order beyond it
+decides nothing.
 """
 
 from __future__ import annotations
@@ -23,36 +27,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Scratch, partitions
+from lodestone.llm.common import Scratch, partitions, split_join
 
 MIN_WORDS = 50
 DOC = ["k", "t"]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _key() -> list:
     """k and t: the document's place in the order, free of nulls."""
     k = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long"))
-    return docs.withColumns({"ld_k": k, "ld_t": F.xxhash64(F.col("doc_id").isNull(), F.col("text"))})
+    return [k.alias("k"), F.xxhash64(F.col("doc_id").isNull(), F.col("text")).alias("t")]
 
 
 def lines(docs: DataFrame) -> DataFrame:
     """k, t, pos, line ID (h1, h2) and words of every line."""
-    rows = _keyed(docs.select("doc_id", "text")).where("text is not null")
-    rows = rows.select(F.col("ld_k").alias("k"), F.col("ld_t").alias("t"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    rows = docs.where("text is not null").select(*_key(), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     return rows.select("k", "t", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.regexp_count("line", F.lit(r"\S+")).alias("words"))
 
 
 def numbered(classes: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
-    """keys with rank: numbers that ascend with the keys, made over range partitions."""
-    n = partitions(classes.sparkSession)
-    return scratch.cut(classes.select(*keys).repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("rank", F.monotonically_increasing_id()))
+    """keys with rank: numbers that ascend with the keys, made over range partitions. n, the key's rows, comes along."""
+    parts = partitions(classes.sparkSession)
+    return scratch.cut(classes.select(*keys, "n").repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("rank", F.monotonically_increasing_id()))
 
 
 def stretches(all_lines: DataFrame, scratch: Scratch) -> DataFrame:
     """The lines whose ID occurs twice or more: k, t, pos, words, s (the stretch they stand in) and rank, the ID's."""
     ids = all_lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
     ids = numbered(ids, ["h1", "h2"], scratch)
-    found = all_lines.join(ids, ["h1", "h2"]).dropDuplicates([*DOC, "pos"])
+    found = split_join(all_lines, ids, ["h1", "h2"], "n", all_lines.count()).dropDuplicates([*DOC, "pos"])
     s = F.col("pos") - F.row_number().over(Window.partitionBy(*DOC).orderBy("pos"))
     return scratch.cut(found.select(*DOC, "pos", "words", s.alias("s"), "rank"))
 
@@ -80,9 +83,11 @@ def doubled(rows: DataFrame, rounds: int, scratch: Scratch) -> DataFrame:
     for i in range(rounds):
         on = F.lead("a", 1 << i).over(Window.partitionBy(*DOC, "s").orderBy("pos"))
         rows = scratch.cut(rows.withColumn("b", on))
-        pairs = rows.where("a is not null and b is not null").groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1")
-        pairs = numbered(pairs, ["a", "b"], scratch)
-        rows = rows.join(pairs, ["a", "b"], "left").select(*DOC, "s", "pos", F.concat("ranks", F.array("rank")).alias("ranks"), F.col("rank").alias("a"))
+        whole = rows.where("a is not null and b is not null")
+        pairs = numbered(whole.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1"), ["a", "b"], scratch)
+        ranked = split_join(whole, pairs, ["a", "b"], "n", rows.count(), "left")
+        ranked = ranked.unionByName(rows.where("a is null or b is null").withColumn("rank", F.lit(None).cast("long")))
+        rows = ranked.select(*DOC, "s", "pos", F.concat("ranks", F.array("rank")).alias("ranks"), F.col("rank").alias("a"))
     return rows.select(*DOC, "pos", "ranks")
 
 
@@ -102,7 +107,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     named = scratch.cut(named)
     intervals = named.groupBy("n", "a", "b").agg(F.count("*").alias("size"), F.min(F.struct("k", "t", "start")).alias("f")).where("size > 1")
     same = (F.col("f.k") == F.col("k")) & (F.col("f.t") == F.col("t"))
-    later = named.join(intervals, ["n", "a", "b"]).where(~(same & (F.col("start") - F.col("f.start") < F.col("n"))))
+    later = split_join(named, intervals, ["n", "a", "b"], "size", named.count()).where(~(same & (F.col("start") - F.col("f.start") < F.col("n"))))
     spans = later.select(*DOC, "start", (F.col("start") + F.col("n")).alias("end")).distinct()
     by = Window.partitionBy(*DOC).orderBy("start", "end")
     fresh = F.coalesce(F.col("start") > F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int")
@@ -110,15 +115,17 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return spans.groupBy(*DOC, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with the later copies taken out of text, and ld_lines and ld_removed, numbers of lines."""
-    spans = repeats(docs, min_words).groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ld_cut"))
-    spans = spans.select(F.col("k").alias("ld_k"), F.col("t").alias("ld_t"), "ld_cut")
-    rows = _keyed(docs).drop("ld_cut", "ld_all", "ld_lines", "ld_removed").join(spans, ["ld_k", "ld_t"], "left")
-    rows = rows.withColumn("ld_all", F.when(F.col("ld_cut").isNotNull(), F.split("text", "\n")))
-    kept = "zip_with(concat(array(0), ld_cut.end), concat(ld_cut.start, array(size(ld_all))), (a, b) -> slice(ld_all, a + 1, b - a))"
-    text = F.when(F.col("ld_cut").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(F.expr(kept)), "\n"))
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
-    removed = F.coalesce(F.expr("aggregate(ld_cut, 0, (n, x) -> n + x.end - x.start)"), F.lit(0))
-    names = [c for c in docs.columns if not c.startswith("ld_")]
-    return rows.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in names], n.cast("long").alias("ld_lines"), removed.cast("long").alias("ld_removed"))
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS, report: bool = True) -> DataFrame:
+    """docs with the later copies taken out of text; report: and ld_lines and ld_removed, numbers of lines."""
+    spans = repeats(docs, min_words).groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cut"))
+    names = [c for c in docs.columns if not (report and c in ("ld_lines", "ld_removed"))]
+    rows = docs.select(*_key(), "text", F.struct(*[F.col(f"`{c}`") for c in names if c != "text"], F.lit(0).alias("ld_0")).alias("row"))
+    rows = rows.join(spans, DOC, "left").withColumn("every", F.when(F.col("cut").isNotNull(), F.split("text", "\n")))
+    kept = "zip_with(concat(array(0), cut.end), concat(cut.start, array(size(every))), (a, b) -> slice(every, a + 1, b - a))"
+    text = F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(F.expr(kept)), "\n"))
+    out = [text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in names]
+    if report:
+        n = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
+        removed = F.coalesce(F.expr("aggregate(cut, 0, (n, x) -> n + x.end - x.start)"), F.lit(0))
+        out += [n.cast("long").alias("ld_lines"), removed.cast("long").alias("ld_removed")]
+    return rows.select(*out)

@@ -51,6 +51,19 @@ def test_odd_rows(spark):
     assert linededup.dedup(df.limit(0), 50).count() == 0
 
 
+def test_hot_lines_and_columns(spark):
+    """One run in most documents: its keys are split; columns keep their names."""
+    rng = random.Random(3)
+    run = "hot " * 30 + "\n" + "run " * 30
+    docs = [(i, run + f"\nown {i} " + str(rng.random()), float(i), i, "w") for i in range(3000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, ld_score double, n int, `a.b` string").repartition(5)
+    out = linededup.dedup(df, 50, report=False)
+    assert out.columns == df.columns
+    got = {r.doc_id: r for r in out.collect()}
+    assert got[0].text == docs[0][1]
+    assert all(got[i].text == docs[i][1].split("\n")[2] and got[i].ld_score == i and got[i].n == i and got[i]["a.b"] == "w" for i in range(1, 3000))
+
+
 def test_native(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     assert "Python" not in linededup.dedup(df)._jdf.queryExecution().toString()
