@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Scratch, components, small_batches
+from lodestone.llm.common import Scratch, components, small_batches, split_join, trimmed
 
 #: Classes of a prefix that meet in one group. Node pairs that one step of a walk may hold.
 BLOCK, FRONTIER = 16384, 1 << 20
+#: Bits of the prefixes whose list may be broadcast: 65,536 rows of two numbers.
+FEW_BITS = 16
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -63,7 +65,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
+    return rows.mapInArrow(trimmed(_fingerprints(shingle), "simhash"), "doc_id long, fp long")
 
 
 def walk(left: np.ndarray, right: np.ndarray | None, bits: int, depth: int):
@@ -159,15 +161,16 @@ def _group(bits, depth):
 def links(classes: DataFrame, bits: int = 3, block: int = BLOCK) -> DataFrame:
     """Distinct fp to links (a, b) that join every two fingerprints within `bits`, over one or more steps."""
     n = classes.count()
-    depth = min(10, max(4, (n // max(1, block // 2)).bit_length()))
+    depth = min(32, max(4, (n // max(1, block // 2)).bit_length()))
     prefix = F.shiftrightunsigned("fp", 64 - depth).cast("int")
     rows = classes.select("fp", prefix.alias("x"))
-    # One number for each of at most 1,024 prefixes.
+    # A row for each prefix; broadcast only where there are no more than 2 ** FEW_BITS of them.
+    small = F.broadcast if depth <= FEW_BITS else (lambda df: df)
     blocks = rows.groupBy("x").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
     masks = [sum(1 << i for i in c) for k in range(bits + 1) for c in combinations(range(depth), k)]
-    own = rows.join(F.broadcast(blocks), "x").withColumn("blk", F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int"))
+    own = rows.join(small(blocks), "x").withColumn("blk", F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int"))
     near = own.select("fp", "x", "blk", F.explode(F.array(*[F.lit(m) for m in masks])).alias("m")).select("fp", "x", "blk", F.col("x").bitwiseXOR(F.col("m")).alias("y"))
-    near = near.join(F.broadcast(blocks.select(F.col("x").alias("y"), "nb")), "y").select("fp", "x", "blk", "y", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
+    near = near.join(small(blocks.select(F.col("x").alias("y"), "nb")), "y").select("fp", "x", "blk", "y", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
     code = lambda x, blk: F.shiftleft(F.col(x).cast("long"), 20) + F.col(blk)
     near = near.select("fp", code("x", "blk").alias("c"), code("y", "other").alias("o"))
     near = near.select("fp", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"), (F.col("c") > F.col("o")).cast("int").alias("side"))
@@ -179,12 +182,13 @@ def near_duplicates(docs: DataFrame, bits: int = 3, shingle: int = 3, block: int
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash")
     fps = scratch.cut(fingerprints(docs, shingle))
-    classes = scratch.cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    classes = scratch.cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")))
     comps = components(spark, links(classes.select("fp"), bits, block), scratch)
     rooted = classes.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.select("fp", "root").join(ids, "root").select("fp", "component_id")
-    return fps.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = rooted.select("fp", "root", "size").join(ids, "root").select("fp", "component_id", "size")
+    # All copies share a fingerprint, however many they are.
+    return split_join(fps, of, ["fp"], "size", fps.count()).select("doc_id", "fp", "component_id")
 
 
 def _row_key():
@@ -203,7 +207,7 @@ def keep_one(docs: DataFrame, bits: int = 3, shingle: int = 3) -> DataFrame:
     scratch = Scratch(spark, "simhash")
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key().alias("key"), F.col("text").cast("string").alias("text"))
-    fps = scratch.cut(rows.mapInArrow(_fingerprints(shingle), "doc_id long, key binary, fp long"))
+    fps = scratch.cut(rows.mapInArrow(trimmed(_fingerprints(shingle), "simhash"), "doc_id long, key binary, fp long"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     classes = scratch.cut(fps.groupBy("fp").agg(F.min(order).alias("first")))
     comps = components(spark, links(classes.select("fp"), bits), scratch)
