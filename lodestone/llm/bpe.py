@@ -2,8 +2,9 @@
 
 1. Each text is cut where a rolling hash of its last 32 bytes says so, hence alike wherever a passage stands.
    Only the chunks' 128-bit hashes are shuffled and counted; a hash that occurs twice or more is shared.
-2. One text of each shared chunk is fetched and encoded, once for the whole corpus. A bitmap of fixed size
-   (FILTER_BITS) lets the scan send nearly only shared chunks; it errs on one side, so nothing is lost.
+2. One text of each shared chunk is fetched and encoded, once for the whole corpus. A bitmap, sized by the number of
+   shared chunks, lets the scan send nearly only these; it errs on one side, so nothing is lost. Where it would take
+   more than FILTER_BITS, every chunk is sent and the join alone decides.
 3. Documents are dealt to buckets; each bucket gets the codes of the shared chunks that occur in it, once each,
    however many documents repeat them. The rest of a text is encoded in place.
 4. Where two codes meet, the text around the joint is re-encoded: the window starts at the nearest spaces and
@@ -23,13 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import wordcode
-from lodestone.llm.common import Scratch, packed, partitions, small_batches, unpacked
+from lodestone.llm.common import Scratch, bucket_count, packed, small_batches, trimmed, unpacked
 from lodestone.llm.wordcode import SPLIT, WordCoder, default_tokenizer, load
 
 #: Least, usual (a power of two above the least) and most bytes of a chunk; the rolling hash's window.
 LEAST, USUAL, MOST, WINDOW = 128, 512, 16384, 32
-#: The bitmap of shared chunks is this long at every size of input (4 MB).
-FILTER_BITS = 1 << 25
+#: Bits of the bitmap for each shared chunk, at least, and in all, at most (32 MB).
+CHUNK_BITS, FILTER_BITS = 16, 1 << 28
 GEAR = np.frombuffer(b"".join(hashlib.blake2b(bytes([i]), digest_size=4).digest() for i in range(256)), "<u4")
 
 
@@ -88,22 +89,23 @@ def _hashes(it):
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.binary()), pa.array([k[1] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["h", "p", "n"])
 
 
-def _bit(h: bytes, p: int) -> int:
-    return (int.from_bytes(h[:4], "big") + p * 2654435761) & (FILTER_BITS - 1)
+def _bit(h: bytes, p: int, size: int) -> int:
+    return (int.from_bytes(h[:4], "big") + p * 2654435761) & (size - 1)
 
 
 def _likely(bitmap):
-    """(text, bucket) to (h, chunk) of the chunks whose bit is set: those that this bucket is to send."""
+    """(text, bucket) to (h, chunk) of the chunks whose bit is set, or of all where there is no bitmap: those that this bucket is to send."""
 
     def run(it):
-        bits, sent = np.frombuffer(bitmap.value, np.uint8), set()
+        bits, sent = np.frombuffer(bitmap.value, np.uint8) if bitmap else None, set()
+        size = 8 * len(bits) if bitmap else 0
         for batch in it:
             hs, texts = [], []
             for text, p in zip(batch["text"].to_pylist(), batch["p"].to_pylist(), strict=True):
                 data = (text or "").encode()
                 for h, a, b in chunks(data):
-                    i = _bit(h, p)
-                    if bits[i >> 3] >> (i & 7) & 1 and h not in sent:
+                    i = _bit(h, p, size) if size else 0
+                    if (not size or bits[i >> 3] >> (i & 7) & 1) and h not in sent:
                         sent.add(h)
                         hs.append(h)
                         texts.append(data[a:b])
@@ -211,6 +213,19 @@ def _documents(path, cache_words, digests):
     return run
 
 
+def _bitmap(shared: DataFrame):
+    """The broadcast bits of the shared chunks, or None where they would be more than FILTER_BITS."""
+    bits = 1 << max(16, (CHUNK_BITS * shared.count() - 1).bit_length())
+    if bits > FILTER_BITS:
+        return None
+    place = (F.conv(F.hex(F.substring("h", 1, 4)), 16, 10).cast("long") + F.col("p") * F.lit(2654435761)).bitwiseAND(bits - 1)
+    marks = shared.select(place.alias("i")).groupBy(F.shiftright("i", 5).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(i & 31)))").alias("m"))
+    marks = marks.toArrow()  # two numbers a row, as many rows as chunks at most
+    bitmap = np.zeros(bits // 32, "<u4")
+    bitmap[marks["w"].to_numpy()] = marks["m"].to_numpy().astype("<u4")
+    return shared.sparkSession.sparkContext.broadcast(bitmap.tobytes())
+
+
 def encode(docs: DataFrame, tokenizer: str | None = None, digests: bool = False, cache_words: int = 400_000) -> DataFrame:
     """doc_id, n_tokens, ids and decoded text of every document; digests: their sha256 instead of ids and text.
 
@@ -219,26 +234,22 @@ def encode(docs: DataFrame, tokenizer: str | None = None, digests: bool = False,
     spark, path = docs.sparkSession, tokenizer or default_tokenizer()
     small_batches(spark)
     load(path)
-    scratch, buckets = Scratch(spark, "bpe"), partitions(spark)
+    scratch, buckets = Scratch(spark, "bpe"), bucket_count(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("p", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int"))
 
-    seen = rows.select("text", "p").mapInArrow(_hashes, "h binary, p int, n long").groupBy("h", "p").agg(F.sum("n").alias("n"))
+    seen = rows.select("text", "p").mapInArrow(trimmed(_hashes, "bpe"), "h binary, p int, n long").groupBy("h", "p").agg(F.sum("n").alias("n"))
     seen = scratch.cut(seen)
     shared = seen.groupBy("h").agg(F.sum("n").alias("n"), F.min("p").alias("p")).where("n > 1").select("h", "p")
 
-    place = (F.conv(F.hex(F.substring("h", 1, 4)), 16, 10).cast("long") + F.col("p") * F.lit(2654435761)).bitwiseAND(FILTER_BITS - 1)
-    marks = shared.select(place.alias("i")).groupBy(F.shiftright("i", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(i & 31)))").alias("m"))
-    bitmap = np.zeros(FILTER_BITS // 32, "<u4")  # at most FILTER_BITS / 32 rows come to the driver
-    for w, m in marks.toLocalIterator():
-        bitmap[w] = m
-    sent = spark.sparkContext.broadcast(bitmap.tobytes())
+    shared = scratch.cut(shared)
+    sent = _bitmap(shared)
 
-    texts = rows.select("text", "p").mapInArrow(_likely(sent), "h binary, chunk binary").dropDuplicates(["h"])
-    codes = texts.join(shared, "h", "left_semi").mapInArrow(_encode_chunks(path, cache_words), "h binary, ids binary")
+    texts = rows.select("text", "p").mapInArrow(trimmed(_likely(sent), "bpe"), "h binary, chunk binary").dropDuplicates(["h"])
+    codes = texts.join(shared, "h", "left_semi").mapInArrow(trimmed(_encode_chunks(path, cache_words), "bpe"), "h binary, ids binary")
     nothing = F.lit(None).cast("binary")
     dealt = seen.select("h", "p").join(codes, "h").select("p", F.lit(0).alias("kind"), "h", "ids", nothing.alias("parcel"))
     parcels = packed(rows, ["doc_id", "text"], buckets).select("p", F.lit(1).alias("kind"), nothing.alias("h"), nothing.alias("ids"), "parcel")
     both = dealt.union(parcels)
     schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
-    return both.repartition(buckets, "p").sortWithinPartitions("p", "kind").mapInArrow(_documents(path, cache_words, digests), schema)
+    return both.repartitionById(buckets, "p").sortWithinPartitions("p", "kind").mapInArrow(trimmed(_documents(path, cache_words, digests), "bpe"), schema)
