@@ -9,8 +9,9 @@ classes, and a class emits its words as the smoothed unigram does:
 so the model spreads its mass over exactly the words that the unigram knows, and one unknown.
 Baum-Welch trains the states on every training text: each partition returns expected counts, which are summed by key;
 the driver holds one number for each state and class. Texts are cut into segments of SEGMENT words for the training
-alone; segments that go on within a text have a start distribution of their own. The start of the training is fitted to
-a bounded sample (SAMPLE texts). The score is exact: the scaled forward recursion over the whole text.
+alone; segments that go on within a text have a start distribution of their own, and the step over their bound is
+counted from the forward vector before it and the backward vector after it, so every step of every text counts. The
+start of the training is fitted to a bounded sample (SAMPLE texts of SAMPLE_WORDS words at most). The score is exact: the scaled forward recursion over the whole text.
 
 Counts of words travel with the texts' buckets, once for each bucket in which a word occurs, so a frequent word is no
 hot key.
@@ -30,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Scratch, packed, partitions, small_batches, unpacked
+from lodestone.llm.common import Scratch, bucket_count, packed, small_batches, trimmed, unpacked
 
 STATES, FREQUENT, TAILS, TAIL_BYTES, SEGMENT, ROUNDS, WARM, SAMPLE = 6, 2048, 1024, 3, 256, 4, 30, 512
-#: Words that one vectorised pass takes together.
-WORDS = 1 << 20
+#: Words that one vectorised pass takes together when texts are scored, and when segments are trained on.
+WORDS, TRAIN_WORDS = 1 << 20, 1 << 18
+#: Words of a text of the sample, at most.
+SAMPLE_WORDS = 4096
 END, UNKNOWN_CLASS, END_CLASS, FIRST = b"", 0, 1, 2
 ADD = 0.1
 
@@ -148,6 +151,14 @@ def expected(model: Model, classes: np.ndarray, lengths: np.ndarray, first: np.n
             plo = begins[t - 1]
             moves += alpha[plo : plo + n].T @ f
             ahead[:n] = f @ model.moves.T
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    later = np.flatnonzero(first[place])  # segments that go on; the one before ends with its forward vector
+    if len(later):
+        before, after = place[later - 1], place[later]
+        f = e[after] * ahead[after]
+        last = gamma[begins[lengths[later - 1] - 1] + before]
+        moves += (last / ((last @ model.moves) * f).sum(axis=1)[:, None]).T @ f
     moves *= model.moves
     start = np.zeros_like(model.start)
     np.add.at(start, first, gamma[: active[0]])
@@ -193,8 +204,8 @@ def segments(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nd
     return np.concatenate(sequences), np.array(lengths), np.array(first)
 
 
-def gathered(it, column: str, others: list[str]):
-    """Lists of class sequences of about WORDS words, with the other columns."""
+def gathered(it, column: str, others: list[str], most: int):
+    """Lists of class sequences of about `most` words, with the other columns."""
     seqs, rest, n = [], [], 0
     for batch in it:
         for row in zip(batch[column].to_pylist(), *(batch[c].to_pylist() for c in others), strict=True):
@@ -202,7 +213,7 @@ def gathered(it, column: str, others: list[str]):
             seqs.append(s)
             rest.append(row[1:])
             n += len(s)
-            if n >= WORDS:
+            if n >= most:
                 yield seqs, rest
                 seqs, rest, n = [], [], 0
     if seqs:
@@ -214,7 +225,7 @@ def _expect(sent):
 
     def run(it):
         model, total = sent.value, None
-        for seqs, _ in gathered(it, "classes", []):
+        for seqs, _ in gathered(it, "classes", [], TRAIN_WORDS):
             got = np.concatenate([np.ravel(x) for x in expected(model, *segments(seqs))])
             total = got if total is None else total + got
         if total is not None:
@@ -226,7 +237,7 @@ def _expect(sent):
 
 def _score(sent):
     def run(it):
-        for seqs, rest in gathered(it, "classes", ["doc_id", "held", "n_tokens", "n_known", "base_score", "inner"]):
+        for seqs, rest in gathered(it, "classes", ["doc_id", "held", "n_tokens", "n_known", "base_score", "inner"], WORDS):
             log10 = likelihoods(sent.value, np.concatenate(seqs), np.array([len(s) for s in seqs])) / math.log(10)
             c = list(zip(*rest, strict=True))
             kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64())
@@ -255,13 +266,13 @@ def score(docs: DataFrame, folds: int = 10, states: int = STATES, rounds: int =
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = docs.sparkSession
     small_batches(spark)
-    scratch, buckets = Scratch(spark, "hmm"), partitions(spark)
+    scratch, buckets = Scratch(spark, "hmm"), bucket_count(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     remainder = F.crc32(F.col("doc_id").cast("string")) % folds
     rows = rows.select("*", F.coalesce(remainder == 0, F.lit(False)).alias("held"), F.coalesce(remainder != 0, F.lit(False)).alias("train"))
     parcels = packed(rows, ["doc_id", "text", "held", "train"], buckets)
 
-    seen = parcels.repartition(buckets, "p").sortWithinPartitions("p").mapInArrow(_vocabulary, "p int, w binary, n long")
+    seen = parcels.repartitionById(buckets, "p").sortWithinPartitions("p").mapInArrow(trimmed(_vocabulary, "hmm"), "p int, w binary, n long")
     by = Window.partitionBy("w")
     seen = seen.select("p", "w", F.sum("n").over(by).alias("c"), "n", (F.row_number().over(by.orderBy("p")) == 1).alias("one"))
     seen = scratch.cut(seen)
@@ -288,19 +299,19 @@ def score(docs: DataFrame, folds: int = 10, states: int = STATES, rounds: int =
     texts = parcels.select("p", F.lit(1).alias("kind"), nothing("binary", "w"), nothing("long", "c"), nothing("int", "class"), "parcel")
     names = ["doc_id", "held", "train", "n_tokens", "n_known", "base_score", "inner", "classes"]
     schema = "doc_id long, held boolean, train boolean, n_tokens long, n_known long, base_score double, inner double, classes binary"
-    both = entries.union(texts).repartition(buckets, "p").sortWithinPartitions("p", "kind")
-    coded = scratch.cut(both.mapInArrow(_texts(names, const), schema))
+    both = entries.union(texts).repartitionById(buckets, "p").sortWithinPartitions("p", "kind")
+    coded = scratch.cut(both.mapInArrow(trimmed(_texts(names, const), "hmm"), schema))
 
     train = coded.where("train").select("doc_id", "classes")
-    sample = [np.frombuffer(r.classes, "<u2").astype(np.int64) for r in train.orderBy(F.xxhash64("doc_id"), "classes").limit(SAMPLE).toLocalIterator()]
+    sample = [np.frombuffer(r.classes, "<u2").astype(np.int64) for r in train.where(F.octet_length("classes") <= 2 * SAMPLE_WORDS).orderBy(F.xxhash64("doc_id"), "classes").limit(SAMPLE).toLocalIterator()]
     model = warm(sample, base, known, states) if known else Model(np.full((2, states), 1 / states), np.full((states, states), 1 / states), np.tile(base, (states, 1)))
-    for _ in range(rounds if sample else 0):
+    for _ in range(rounds if known else 0):
         sent = spark.sparkContext.broadcast(model)
         sums = np.zeros(2 * states + states * states + states * n_classes + 1)
-        for key, value in train.select("classes").mapInArrow(_expect(sent), "key long, value double").groupBy("key").agg(F.sum("value")).toLocalIterator():
+        for key, value in train.select("classes").mapInArrow(trimmed(_expect(sent), "hmm"), "key long, value double").groupBy("key").agg(F.sum("value")).toLocalIterator():
             sums[key] = value
         a, b = 2 * states, 2 * states + states * states
         model = maximised(sums[:a].reshape(2, states), sums[a:b].reshape(states, states), sums[b:-1].reshape(states, n_classes), base, known)
         sent.unpersist()
-    found = coded.drop("train").mapInArrow(_score(spark.sparkContext.broadcast(model)), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    found = coded.drop("train").mapInArrow(trimmed(_score(spark.sparkContext.broadcast(model)), "hmm"), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return found.withColumn("train_tokens", F.lit(total).cast("long"))

@@ -32,6 +32,21 @@ def brute(model, seq, first=0):
     return total, start / total, moves / total, emit / total
 
 
+def crossing(model, before, first, after):
+    """Expected moves from the last state of one segment to the first of the next, over all paths of both."""
+    k, out = len(model.moves), np.zeros_like(model.moves)
+    for a in itertools.product(range(k), repeat=len(before)):
+        p = model.start[first, a[0]] * model.emit[a[0], before[0]]
+        for x, y, c in zip(a, a[1:], before[1:], strict=False):
+            p *= model.moves[x, y] * model.emit[y, c]
+        for b in itertools.product(range(k), repeat=len(after)):
+            q = p * model.moves[a[-1], b[0]] * model.emit[b[0], after[0]]
+            for x, y, c in zip(b, b[1:], after[1:], strict=False):
+                q *= model.moves[x, y] * model.emit[y, c]
+            out[a[-1], b[0]] += q
+    return out / out.sum()
+
+
 def test_against_all_paths():
     rng = np.random.default_rng(1)
     model = some_model(3, 4)
@@ -39,8 +54,9 @@ def test_against_all_paths():
     first = np.array([0, 1, 0, 1, 1])
     want = [brute(model, s, f) for s, f in zip(seqs, first, strict=True)]
     got = hmm.expected(model, np.concatenate(seqs), np.array([len(s) for s in seqs]), first)
+    over = sum(crossing(model, seqs[i - 1], first[i - 1], seqs[i]) for i in range(1, 5) if first[i])
     for i in range(3):
-        assert np.allclose(got[i], sum(w[i + 1] for w in want))
+        assert np.allclose(got[i], sum(w[i + 1] for w in want) + (over if i == 1 else 0))
     assert math.isclose(got[3], sum(math.log(w[0]) for w in want))
     assert np.allclose(hmm.likelihoods(model, np.concatenate(seqs), np.array([len(s) for s in seqs])), [math.log(brute(model, s)[0]) for s in seqs])
 
