@@ -25,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import small_batches
+from lodestone.llm.common import small_batches, trimmed
 
-PER_LANG, SWITCH, TOP, CACHE = 3000, 12.0, 6.0, 400_000
+PER_LANG, SWITCH, TOP, CACHE = 3000, 12.0, 6.0, 200_000
 #: Rows that one Viterbi pass takes together: at most about so many documents, and bytes.
 DOCS, BYTES = 4096, 12 << 20
+#: Characters of the texts that are split into words together.
+SPLIT = 1 << 20
 UND = "und"
 #: First and last code point of scripts' letters (fixed values of Unicode's blocks).
 SCRIPTS = [
@@ -77,7 +79,7 @@ def learn(docs: DataFrame, folds: int = 5, per_lang: int = PER_LANG) -> dict | N
         return None
     least = docs.sparkSession.createDataFrame([(k, int(per_lang / n * 2**30)) for k, n in sizes.items()], "lang string, least long")
     sample = rows.join(F.broadcast(least), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(2**30)) < F.col("least")).select("lang", "text")
-    counts = sample.mapInArrow(_count, "lang string, what string, item string, n long").groupBy("lang", "what", "item").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(trimmed(_count, "langid"), "lang string, what string, item string, n long").groupBy("lang", "what", "item").agg(F.sum("n").alias("n"))
     return fit(((r.lang, r.what, r.item, r.n) for r in counts.toLocalIterator()), sizes)
 
 
@@ -184,7 +186,14 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
 
 def label(texts: list[str | None], words: Words) -> tuple[list[str], list[float], list[list[tuple[int, int, str]]] | None]:
     """Language, score and word labels of each text."""
-    rows = words.rows([(t or "").split() for t in texts])
+    rows, some, size = [], [], 0
+    for t in texts:  # words are far larger as strings than as places, so only some texts are split at a time
+        some.append((t or "").split())
+        size += len(t or "")
+        if size >= SPLIT:
+            rows += words.rows(some)
+            some, size = [], 0
+    rows += words.rows(some)
     lengths = [len(r) for r in rows]
     rows, lengths = np.concatenate(rows) if rows else np.zeros(0, np.int32), np.array(lengths, np.int64)
     labels = viterbi(words.scores[rows], lengths)
@@ -258,7 +267,7 @@ def identify(docs: DataFrame, model: dict | None, with_spans: bool = False) -> D
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, lang_pred string, score double" + ", spans array<struct<start: int, end: int, lang: string>>" * with_spans
-    return rows.mapInArrow(_predict(spark.sparkContext.broadcast(model), with_spans), schema)
+    return rows.mapInArrow(trimmed(_predict(spark.sparkContext.broadcast(model), with_spans), "langid"), schema)
 
 
 def keep_known(docs: DataFrame, folds: int = 5) -> DataFrame:
@@ -270,4 +279,4 @@ def keep_known(docs: DataFrame, folds: int = 5) -> DataFrame:
     model = learn(docs, folds)
     sent = spark.sparkContext.broadcast(model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(_predict(sent, False, known_only=True), schema)
+    return docs.mapInArrow(trimmed(_predict(sent, False, known_only=True), "langid"), schema)
