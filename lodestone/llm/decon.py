@@ -7,12 +7,13 @@ window must start, and the window's length must fit the document (length and pos
 verified word by word. The join is made in the scan: a text never moves.
 
 The corpus counts of the benchmark's words cover all documents. The benchmark is taken in blocks of at most
-BLOCK_WORDS words, so what is broadcast is bounded; each block makes its pass over the documents, and the passes'
+BLOCK_WORDS words, so what is broadcast is bounded (about 60 MB of tuples in a worker); each block makes its pass over the documents, and the passes'
 results are merged. A usual benchmark is one block.
 
 Defined cases: a null text has no words. An item without words is no window. Items with a null id are looked for and
 count as one item named "". Items that share an id are one item. An empty benchmark hits nothing. Each row of docs
-gives one row, repeated rows too.
+gives one row, repeated rows too. mark() replaces columns called dc_words, dc_spans and dc_items; find() returns its own
+columns only; clean() returns the columns of docs, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Scratch, small_batches
+from lodestone.llm.common import Scratch, small_batches, trimmed
 
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 200_000
 #: Bytes of words stay (letters lowered), all others become spaces.
 TABLE = bytes(b if b in b"0123456789abcdefghijklmnopqrstuvwxyz" or b > 127 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 ADDED = {"dc_words": "long", "dc_spans": "array<int>", "dc_items": "array<string>"}
@@ -123,13 +124,13 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: i
     scratch, out, last = Scratch(spark, "decon"), rows, None
     for items in blocks(benchmark, block_words):
         if last is not None:
-            out = scratch.cut(out.mapInArrow(_match(last), schema))
+            out = scratch.cut(out.mapInArrow(trimmed(_match(last), "decon"), schema))
         vocabulary = spark.sparkContext.broadcast(frozenset(x for _, w in items for x in w))
-        counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count(vocabulary), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(trimmed(_count(vocabulary), "decon"), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
         counts = {bytes(r.word): r.n for r in counts.toLocalIterator()}  # no more rows than the block has words
         vocabulary.unpersist()
         last = spark.sparkContext.broadcast(index(items, counts, window))
-    return out.mapInArrow(_match(last or spark.sparkContext.broadcast({})), schema)
+    return out.mapInArrow(trimmed(_match(last or spark.sparkContext.broadcast({})), "decon"), schema)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -142,5 +143,6 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: i
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The rows of docs, all their columns, in which no window occurs."""
-    return mark(docs, benchmark, window).where("size(dc_spans) = 0").select(*[F.col(f"`{c}`") for c in docs.columns if c not in ADDED])
+    """The rows of docs, all their columns as they were, in which no window occurs."""
+    row = docs.select(F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return mark(row, benchmark, window).where("size(dc_spans) = 0").select("row.*")
