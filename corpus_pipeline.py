@@ -16,8 +16,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of line runs of 50 words or more leave the texts; n_chars follows."""
-    found = linededup.dedup(docs, linededup.MIN_WORDS)
-    return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    found = linededup.dedup(docs, linededup.MIN_WORDS, report=False)
+    return found.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else found
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
