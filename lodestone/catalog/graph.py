@@ -2,22 +2,36 @@
 
 from __future__ import annotations
 
+import inspect
 from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.columns import has_relation
-from lodestone.operators import health, metrics, search, traverse
+from lodestone.functions import columns, ids
+from lodestone.operators import build, health, metrics, search, traverse
 from lodestone.operators.build import Graph, build_graph, dedupe_nodes, dispatch_methods, merge_edges
 from lodestone.operators.context import context, review
-from lodestone.sources import tables
+from lodestone.sources import store, tables
 
 
-def commerce(spark, sf_dir) -> Graph:
+SOURCES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+
+
+def built(spark, sf_dir) -> Graph:
     return build_graph(tables.commerce_nodes(spark, sf_dir), tables.commerce_edges(spark, sf_dir), ascii_ids=True)
 
 
+def _recipe() -> str:
+    """What the stored graph was made by: another text of these modules makes another store."""
+    return "commerce" + "".join(inspect.getsource(m) for m in (tables, build, columns, ids, store))
+
+
+def commerce(spark, sf_dir) -> Graph:
+    """The commerce graph from the store: built by the first query over these files, read by all others."""
+    return store.stored(spark, _recipe(), [f"{sf_dir}/{t}.parquet" for t in SOURCES], lambda: built(spark, sf_dir))
+
+
 def _graph(f, spark, sf_dir):
     return f(commerce(spark, sf_dir))
 
@@ -75,12 +89,11 @@ def degree_rank(spark, sf_dir):
 
 
 def imports_only(g: Graph) -> Graph:
-    return Graph(g.nodes, g.edges.where(has_relation("imports", "contains")))
+    return g.only("imports", "contains")
 
 
 def listing(spark, sf_dir, token, out, relations=()) -> DataFrame:
     g = commerce(spark, sf_dir)
-    g = Graph(traverse.checkpointed(g.nodes), g.edges)
     node = search.resolve_id(g.nodes, token)
     rows = traverse.listed(traverse.neighbours(g, node, out, relations))
     return rows.select("id", "name", "kind", "relation", "weight", "total", "truncated")
@@ -98,19 +111,18 @@ def impact_d2(spark, sf_dir):
 
 def reach(spark, sf_dir):
     g = commerce(spark, sf_dir)
-    return traverse.reachable(g.edges, traverse.starts_of(g.nodes, ["orders_1", "orders_7"]), 3)
+    return traverse.reachable(g, traverse.starts_of(g.nodes, ["orders_1", "orders_7"]), 3)
 
 
 def reach_undirected(spark, sf_dir):
     """A nation's component, whole."""
     g = commerce(spark, sf_dir)
-    only = g.edges.where(has_relation("imports", "contains"))
-    return traverse.reachable(only, traverse.starts_of(g.nodes, ["nation_3"]), None, undirected=True)
+    return traverse.reachable(imports_only(g), traverse.starts_of(g.nodes, ["nation_3"]), None, undirected=True)
 
 
 def path_lexmin(spark, sf_dir, relations=()):
     g = commerce(spark, sf_dir)
-    found, cut = traverse.path(g.edges, "orders_1", "region_1" if not relations else "supplier_1", 32 if not relations else 3, relations)
+    found, cut = traverse.path(g, "orders_1", "region_1" if not relations else "supplier_1", 32 if not relations else 3, relations)
     return spark.createDataFrame([(found is not None, len(found) - 1 if found else -1, ">".join(found or []), cut)], "found boolean, length int, path string, truncated boolean")
 
 
@@ -146,11 +158,11 @@ def edge_merge(spark, sf_dir):
 
 
 def graph_edges(spark, sf_dir):
-    return commerce(spark, sf_dir).edges.select("source", "target", "relation", F.array_join("relations", ",").alias("relations"), "confidence", "source_file", "weight")
+    return built(spark, sf_dir).edges.select("source", "target", "relation", F.array_join("relations", ",").alias("relations"), "confidence", "source_file", "weight")
 
 
 def placeholder_nodes(spark, sf_dir):
-    return commerce(spark, sf_dir).nodes.where("kind = 'unknown'").select("id", "name")
+    return built(spark, sf_dir).nodes.where("kind = 'unknown'").select("id", "name")
 
 
 def method_dispatch(spark, sf_dir):
@@ -170,12 +182,12 @@ def _dispatch_sql() -> str:
     fam = lambda c: f"CASE {EXT.format(c)} WHEN 'py' THEN 'python' WHEN 'ts' THEN 'js' WHEN 'rs' THEN 'rust' ELSE 'go' END"
     return f"""WITH m AS (SELECT 'part_' || p_partkey AS id, lower(p_brand || '_' || p_size) AS nm, {_path("part", "p_partkey")} AS f FROM part WHERE p_partkey % 7 <> 0),
     e AS (SELECT 'orders_' || l_orderkey AS source, 'part_' || l_partkey AS target, CASE WHEN p_partkey % 14 = 0 THEN 'EXTERNAL_CALL' ELSE 'LOCAL_CALL' END AS confidence,
-          {_path("orders", "l_orderkey")} AS f, lower(p_brand || '_' || p_size) AS nm FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1),
-    c AS (SELECT e.source, e.target AS old, m.id AS target, e.confidence FROM e JOIN m ON m.nm = e.nm WHERE e.confidence <> 'EXTERNAL_CALL' AND ({fam("e.f")}) = ({fam("m.f")})
-          AND (({fam("e.f")}) <> 'python' OR e.f = m.f OR m.f = 'src/part/4.py')),
-    s AS (SELECT * FROM c QUALIFY count(*) OVER (PARTITION BY source, old) <= 3)
-    SELECT source, target, confidence FROM s UNION ALL
-    SELECT source, target, confidence FROM e WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.source = e.source AND s.old = e.target) AND (confidence = 'EXTERNAL_CALL' OR target IN (SELECT id FROM m))"""
+          {_path("orders", "l_orderkey")} AS f, lower(p_brand || '_' || p_size) AS nm FROM lineitem JOIN part ON l_partkey = p_partkey),
+    a AS (SELECT DISTINCT f, nm FROM e WHERE confidence <> 'EXTERNAL_CALL'),
+    c AS (SELECT a.f, a.nm, m.id FROM a JOIN m ON m.nm = a.nm WHERE ({fam("a.f")}) = ({fam("m.f")}) AND (({fam("a.f")}) <> 'python' OR a.f = m.f OR m.f = 'src/part/4.py')),
+    s AS (SELECT * FROM c QUALIFY count(*) OVER (PARTITION BY f, nm) <= 3)
+    SELECT e.source, s.id AS target, confidence FROM e JOIN s ON s.f = e.f AND s.nm = e.nm WHERE confidence <> 'EXTERNAL_CALL' UNION ALL
+    SELECT source, target, confidence FROM e WHERE confidence = 'EXTERNAL_CALL' OR target IN (SELECT id FROM m) AND NOT EXISTS (SELECT 1 FROM s WHERE s.f = e.f AND s.nm = e.nm)"""
 
 
 def event_cycles(spark, sf_dir):
@@ -183,12 +195,11 @@ def event_cycles(spark, sf_dir):
 
 
 def search_tiers(spark, sf_dir):
-    nodes = commerce(spark, sf_dir).nodes.where("kind in ('file', 'class', 'unknown')")
-    return search.search(nodes, "customer_12", 50)
+    return search.search(commerce(spark, sf_dir).nodes, "customer_12", 50)
 
 
 def resolve_cascade(spark, sf_dir):
-    nodes = traverse.checkpointed(commerce(spark, sf_dir).nodes)
+    nodes = commerce(spark, sf_dir).nodes
     out = None
     for token in ("part_3", "ASIA", "supplier/3.go", "tests/20.py", "omer_1", "nothing at all"):
         found = search.resolve(nodes, token).select(F.lit(token).alias("token"), "place", "id", "match_type")
@@ -282,7 +293,7 @@ ORACLE_SQL = {
     "impact_d2": BFS.format(g=G, start="'region_1'", to="source", on="target", most=2) + f" SELECT DISTINCT source_file AS path, {T} AS what FROM (SELECT id, min(depth) AS depth FROM r GROUP BY id) JOIN nodes USING (id) WHERE depth > 0 OR {T} = 'likely_test'",
     "reach_depth3": BFS.format(g=G, start="unnest(['orders_1', 'orders_7'])", to="target", on="source", most=3) + " SELECT id, min(depth) AS depth FROM r WHERE id IN (SELECT id FROM nodes) GROUP BY id",
     "reach_component": f"""WITH RECURSIVE {G}, u AS (SELECT source AS a, target AS b FROM edges WHERE relation IN ('imports', 'contains') UNION ALL SELECT target, source FROM edges WHERE relation IN ('imports', 'contains')),
-        r(id, depth) AS (SELECT 'nation_3', 0 UNION SELECT b, depth + 1 FROM r JOIN u ON a = id WHERE depth < 4) SELECT id, min(depth) AS depth FROM r GROUP BY id ORDER BY depth, id LIMIT 500""",
+        r(id, depth) AS (SELECT 'nation_3', 0 UNION SELECT b, depth + 1 FROM r JOIN u ON a = id WHERE depth < 6) SELECT id, min(depth) AS depth FROM r GROUP BY id""",
     "shortest_path_len": BFS.format(g=G, start="unnest(['orders_1', 'orders_7'])", to="target", on="source", most=3) + " SELECT depth, count(*) AS n FROM (SELECT id, min(depth) AS depth FROM r WHERE id IN (SELECT id FROM nodes) GROUP BY id) GROUP BY depth",
     "path_lexmin": PATH.format(g=G, where="true", end="region_1"),
     "reaches_calls": PATH.format(g=G, where=CALLED, end="supplier_1"),
@@ -291,7 +302,7 @@ ORACLE_SQL = {
             CASE WHEN ends_with(coalesce(source_file, ''), 'customer_12') THEN {{'tier': 2, 'minus': CASE kind WHEN 'file' THEN -1.0 ELSE -0.9 END::DOUBLE}} END,
             CASE WHEN contains(id, 'customer_12') AND id <> 'customer_12' THEN {{'tier': 3, 'minus': -floor(11.0::DOUBLE / length(id) * 1000 + 0.5) / 1000}} END,
             CASE WHEN contains(lower(name), 'customer_12') AND lower(name) <> 'customer_12' THEN {{'tier': 4, 'minus': -floor(11.0::DOUBLE / length(name) * 1000 + 0.5) / 1000}} END,
-            CASE WHEN contains(id || ' ' || lower(name) || ' ' || coalesce(source_file, ''), 'customer') THEN {{'tier': 5, 'minus': -1.0::DOUBLE}} END]) AS x FROM nodes WHERE kind IN ('file', 'class', 'unknown')),
+            CASE WHEN contains(id || ' ' || lower(name) || ' ' || coalesce(source_file, ''), 'customer') THEN {{'tier': 5, 'minus': -1.0::DOUBLE}} END]) AS x FROM nodes),
         b AS (SELECT id, name, kind, source_file, min(x) AS x FROM o WHERE x IS NOT NULL GROUP BY ALL)
         SELECT id, name, kind, source_file, ['exact-id', 'name', 'path-suffix', 'id-substring', 'name-substring', 'tokens'][x.tier + 1] AS match_type, -x.minus AS score, (SELECT count(*) FROM b) AS total_matches FROM b ORDER BY x.tier, x.minus, id LIMIT 50""",
     "candidates": f"WITH {G}, h AS (SELECT id, name, kind, lower(id || ' ' || name || ' ' || coalesce(source_file, '')) AS h FROM nodes) SELECT id, name, kind, {HITS} AS hits FROM h WHERE {HITS} > 0 ORDER BY hits DESC, id LIMIT 40",

@@ -163,10 +163,10 @@ ORACLE_SQL = {
     "project_health": """WITH s AS (SELECT user_id AS project, event_id AS item, event_type AS t, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS p FROM events),
         h AS (SELECT project, count(*) FILTER (t = 'error') AS failing, count(*) FILTER (t = 'click') AS pending, count(*) FILTER (t = 'view') AS stale, coalesce(string_agg(CAST(item AS VARCHAR), ',' ORDER BY item) FILTER (t = 'error' AND p <= 10), '') AS failing_items FROM s GROUP BY project)
         SELECT *, CASE WHEN failing > 0 THEN 'degraded' WHEN pending + stale > 0 THEN 'warning' ELSE 'ok' END AS status FROM h""",
-    "worst_status": "SELECT user_id, ['ready', 'optional', 'degraded', 'blocked'][max(CASE event_type WHEN 'error' THEN 4 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 2 ELSE 1 END)] AS status FROM events WHERE event_id % 7 = 0 GROUP BY user_id",
+    "worst_status": "SELECT user_id, ['ready', 'optional', 'degraded', 'blocked'][max(CASE event_type WHEN 'error' THEN 4 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 2 ELSE 1 END)] AS status FROM events GROUP BY user_id",
     "snapshot_diff": """WITH n AS (SELECT 0.8 * count(*) AS a, 0.2 * count(*) AS b FROM documents) SELECT 'docs/' || doc_id || '.md' AS rel_path, CASE WHEN doc_id < b THEN 'removed' WHEN doc_id >= a THEN 'added' ELSE 'changed' END AS change FROM documents, n WHERE doc_id < b OR doc_id >= a OR doc_id % 5 = 0""",
     "import_candidates": f"SELECT 'src/part/index.ts' AS importer, './' || p_partkey AS specifier, CASE WHEN p_partkey % 4 = 1 AND p_partkey % 10 <> 0 THEN {PART} END AS target FROM part",
-    "longest_prefix": """WITH p AS (SELECT DISTINCT substring(c_name, 1, 10 + CAST(c_custkey % 9 AS INTEGER)) AS prefix FROM customer WHERE c_custkey % 10 = 0)
+    "longest_prefix": """WITH p AS (SELECT DISTINCT substring(c_name, 1, 10 + CAST(c_custkey % 9 AS INTEGER)) AS prefix FROM customer)
         SELECT c_name AS name, arg_max(prefix, length(prefix)) AS prefix FROM customer LEFT JOIN p ON starts_with(c_name, prefix) GROUP BY c_name""",
     "link_extract": """SELECT page_id, CAST(len(h) AS BIGINT) AS links, CAST(len(list_distinct(h)) AS BIGINT) AS targets FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS h FROM pages) WHERE len(h) > 0""",
     "text_references": "SELECT file, CAST(i AS INTEGER) AS line, l[i] AS text FROM (SELECT doc_id AS file, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE contains(lower(l[i]), 'that and')",

@@ -7,15 +7,28 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.columns import edge_language, has_relation, interop_family
 from lodestone.functions.ids import normalize_id
 
 
 @dataclass(frozen=True)
 class Graph:
-    """nodes(id, kind, name, source_file, ...) and edges(source, target, relation, relations, ...), one edge for each ordered pair."""
+    """nodes(id, kind, name, source_file, ...) and edges(source, target, relation, relations, ...), one edge for each ordered pair.
+
+    by_target: the same edges laid out by target, where a store has them.
+    """
 
     nodes: DataFrame
     edges: DataFrame
+    by_target: DataFrame | None = None
+
+    @property
+    def into(self) -> DataFrame:
+        return self.edges if self.by_target is None else self.by_target
+
+    def only(self, *relations: str) -> Graph:
+        """The graph with the edges that have one of the relations."""
+        return Graph(self.nodes, self.edges.where(has_relation(*relations)), self.into.where(has_relation(*relations)))
 
 
 def _with(df: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -61,35 +74,42 @@ def build_graph(nodes: DataFrame, edges: DataFrame, ascii_ids: bool = False) ->
     return Graph(kept.unionByName(ends, allowMissingColumns=True), merged)
 
 
-def ordered(graph: Graph) -> Graph:
-    """The graph with ord on nodes: known ones by id, then placeholders by id. Ties of rankings go by it."""
-    ord_ = F.row_number().over(Window.partitionBy("unknown").orderBy("id"))
-    nodes = graph.nodes.withColumn("unknown", (F.col("kind") == "unknown").cast("int")).withColumn("ord", ord_)
-    return Graph(nodes, graph.edges)
-
-
 def dispatch_methods(edges: DataFrame, nodes: DataFrame, imports: DataFrame, most: int = 3) -> DataFrame:
     """Calls of a bare method name sent on to the methods of that name.
 
     edges: source, target, relation, confidence, source_file, called. nodes: id, name, source_file, is_method. imports:
-    (source_file, target_file). Outside calls stay. A candidate must be of the caller's interop family; a Python caller
-    must share its file or import it. One to `most` candidates: an edge to each. Otherwise the edge stays if its target
-    is a known node, and goes if not. The gates come before the count. Equal edges are each sent on; a candidate counts
-    once for all of them.
+    (source_file, target_file). Outside calls stay. A candidate must be of the caller's interop family, unless either
+    side's file type is unknown; a Python caller must share its file or import it. One to `most` candidates: an edge to
+    each. Otherwise the edge stays if its target is a known node, and goes if not. The gates come before the count.
+    Equal calls are each sent on; a candidate counts once, however many equal calls or nodes there are.
+
+    Calls that agree in name, family and file are one question, asked once. Without the import gate a question's
+    candidates depend on name and family alone, so a name that too many methods share is cut before it meets a call.
     """
-    from lodestone.functions.columns import edge_language, interop_family
-
-    edges = edges.withColumn("eid", F.xxhash64("source", "target", "relation", "source_file", "called"))
-    calls = edges.where((F.col("relation") == "calls") & F.col("called").isNotNull() & ~F.col("confidence").eqNullSafe("EXTERNAL_CALL"))
-    methods = nodes.where("is_method").select(F.lower("name").alias("called_name"), F.col("id").alias("method"), F.col("source_file").alias("method_file"))
-    found = calls.withColumn("called_name", F.lower("called")).join(methods, "called_name").where(interop_family(F.col("source_file")) == interop_family(F.col("method_file")))
-    near = imports.select("source_file", F.col("target_file").alias("method_file")).distinct().withColumn("near", F.lit(True))
-    found = found.join(near, ["source_file", "method_file"], "left")
-    found = found.where((edge_language(F.col("source_file")) != "python") | (F.col("source_file") == F.col("method_file")) | F.col("near"))
-    found = found.withColumn("n", F.size(F.collect_set("method").over(Window.partitionBy("eid")))).where(F.col("n") <= most)
-    sent = found.select(*[F.col("method").alias("target") if c == "target" else F.col(c) for c in edges.columns])
-    known = nodes.select(F.col("id").alias("target")).distinct().withColumn("known", F.lit(True))
-    rest = edges.join(sent.select("eid").distinct(), "eid", "left_anti").join(known, "target", "left")
     open_call = (F.col("relation") == "calls") & F.col("called").isNotNull() & ~F.col("confidence").eqNullSafe("EXTERNAL_CALL")
-    rest = rest.where(~open_call | F.col("known")).select(*edges.columns)
-    return sent.unionByName(rest).drop("eid")
+    family = lambda c: F.when(edge_language(F.col(c)) != "other", interop_family(F.col(c)))
+    asks = edges.select(F.when(open_call, F.lower("called")).alias("nm"), "source_file").where("nm is not null").distinct()
+    asks = asks.withColumns({"fam": family("source_file"), "py": F.coalesce(edge_language(F.col("source_file")) == "python", F.lit(False))})
+    methods = nodes.where("is_method").select(F.lower("name").alias("nm"), F.col("id").alias("method"), F.col("source_file").alias("method_file")).distinct()
+    methods = methods.withColumn("method_fam", family("method_file"))
+    # A caller of any other kind than Python's meets its name's methods of its family and of no known family.
+    kinds = asks.where("not py").select("nm", "fam").distinct()
+    fits = (F.col("fam").isNull() | F.col("method_fam").isNull() | (F.col("fam") == F.col("method_fam")))
+    sizes = methods.groupBy("nm", "method_fam").agg(F.countDistinct("method").alias("k")).join(kinds, "nm").where(fits)
+    # Methods that stand in several files may count twice here: what passes is counted exactly below.
+    few = sizes.groupBy("nm", "fam").agg(F.max("k").alias("k")).where(F.col("k") <= most).select(F.col("nm").alias("n2"), F.col("fam").alias("f2"))
+    plain = asks.where("not py").join(few, (F.col("nm") == F.col("n2")) & F.col("fam").eqNullSafe(F.col("f2"))).select("nm", "source_file", "fam")
+    plain = plain.join(methods, "nm").where(fits).select("nm", "source_file", "method")
+    # A Python caller meets the methods of its own file and of the files that it imports.
+    near = imports.select("source_file", F.col("target_file").alias("method_file")).union(asks.where("py").select("source_file", "source_file")).distinct()
+    python = asks.where("py").join(near, "source_file").join(methods, ["nm", "method_file"]).where(fits).select("nm", "source_file", "method")
+    found = plain.union(python).distinct()
+    counted = found.groupBy("nm", "source_file").agg(F.count("*").alias("k")).where(F.col("k") <= most).drop("k")
+    found = found.join(counted, ["nm", "source_file"], "left_semi").select("nm", F.col("source_file").alias("file"), "method")
+
+    known = nodes.select(F.col("id").alias("target")).distinct().withColumn("known", F.lit(True))
+    asked = edges.withColumn("nm", F.when(open_call, F.lower("called")))
+    sent = asked.join(found, (asked["nm"] == found["nm"]) & asked["source_file"].eqNullSafe(found["file"])).select(*[F.col("method").alias("target") if c == "target" else F.col(c) for c in edges.columns])
+    hit = found.select(F.col("nm").alias("n2"), "file").distinct()
+    rest = asked.join(hit, (F.col("nm") == F.col("n2")) & F.col("source_file").eqNullSafe(F.col("file")), "left_anti").join(known, "target", "left")
+    return sent.unionByName(rest.where(F.col("nm").isNull() | F.col("known")).select(*edges.columns))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,9 @@ from lodestone.operators.traverse import checkpointed, project_edges
 
 
 def degrees(graph: Graph) -> DataFrame:
-    """nodes with in_degree, out_degree and degree: one shuffle of the edges' ends."""
+    """nodes with in_degree, out_degree and degree: one shuffle of the edges' ends, or none where a store has them."""
+    if "degree" in graph.nodes.columns:
+        return graph.nodes
     ends = graph.edges.select(F.explode(F.array(F.struct(F.col("source").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("target").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e")).select("e.*")
     n = ends.groupBy("id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
@@ -59,26 +63,52 @@ def top_files(graph: Graph, top: int = 20) -> DataFrame:
 def surprising(graph: Graph, top: int = 20) -> DataFrame:
     """Project edges whose ends share no predecessor and no successor.
 
-    The neighbours in common come from joins on the edges themselves: for each edge the smaller end's list would do, and
-    a pair of rows exists only where a triangle closes.
+    Two ends with a common neighbour close a triangle. Every pair that an edge joins, in either direction, is laid from
+    the end of lower degree to the other; a triangle's three pairs then leave one corner twice, and a corner has no more
+    than the square root of twice the edges of such pairs. So a hub's neighbours never meet each other.
     """
     mine = project_edges(graph).select("source", "target", "relation")
     e = graph.edges.select("source", "target")
-    a, b = e.select(F.col("source").alias("p"), F.col("target").alias("source")), e.select(F.col("source").alias("p"), F.col("target").alias("target"))
-    common_in = mine.select("source", "target").join(a, "source").join(b, ["p", "target"], "left_semi").select("source", "target")
-    c, d = e.select("source", F.col("target").alias("s")), e.select(F.col("source").alias("target"), F.col("target").alias("s"))
-    common_out = mine.select("source", "target").join(c, "source").join(d, ["target", "s"], "left_semi").select("source", "target")
-    found = mine.join(common_in.union(common_out).distinct(), ["source", "target"], "left_anti")
-    return found.orderBy("source", "target").limit(top)
-
-
-def cycles(edges: DataFrame, top: int = 20, longest: int = 32) -> DataFrame:
+    d = degrees(Graph(graph.nodes.select("id"), graph.edges)) if "degree" not in graph.nodes.columns else graph.nodes
+    rank = d.select("id", "degree")
+    pairs = e.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), (F.col("source") < F.col("target")).cast("int").alias("up"))
+    # way: 1 from a to b, 2 from b to a, 3 both.
+    pairs = pairs.groupBy("a", "b").agg(F.sum(F.when(F.col("up") == 1, 1).otherwise(2)).cast("int").alias("way"))
+    pairs = pairs.join(rank.select(F.col("id").alias("a"), F.col("degree").alias("da")), "a").join(rank.select(F.col("id").alias("b"), F.col("degree").alias("db")), "b")
+    first = F.struct("da", "a") <= F.struct("db", "b")
+    back = lambda c: F.element_at(F.array(F.lit(2), F.lit(1), F.lit(3)), c)
+    laid = checkpointed(pairs.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("v"), F.when(first, F.col("way")).otherwise(back(F.col("way"))).alias("way")))
+    one, two = laid.select("u", F.col("v").alias("v"), F.col("way").alias("uv")), laid.select("u", F.col("v").alias("w"), F.col("way").alias("uw"))
+    wedges = one.join(two, "u").where("v < w")
+    third = laid.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("w"), F.when(F.col("u") < F.col("v"), F.col("way")).otherwise(back(F.col("way"))).alias("vw"))
+    triangles = wedges.join(third, ["v", "w"])
+
+    def has(way, bit):
+        return way.bitwiseAND(bit) != 0
+
+    # Each of a triangle's edges from x to y, with z as the corner in common: z before both, or after both.
+    sides = F.array(*[
+        F.struct(x.alias("x"), y.alias("y"), xy.alias("xy"), xz.alias("xz"), yz.alias("yz"))
+        for x, y, xy, xz, yz in (
+            (F.col("u"), F.col("v"), F.col("uv"), F.col("uw"), F.col("vw")),
+            (F.col("u"), F.col("w"), F.col("uw"), F.col("uv"), back(F.col("vw"))),
+            (F.col("v"), F.col("w"), F.col("vw"), back(F.col("uv")), back(F.col("uw"))),
+        )
+    ])
+    s = triangles.select(F.explode(sides).alias("s")).select("s.*")
+    shared = (has(F.col("xz"), 1) & has(F.col("yz"), 1)) | (has(F.col("xz"), 2) & has(F.col("yz"), 2))
+    s = s.where(shared)
+    common = s.where(has(F.col("xy"), 1)).select(F.col("x").alias("source"), F.col("y").alias("target")).union(s.where(has(F.col("xy"), 2)).select("y", "x"))
+    return mine.join(common.distinct(), ["source", "target"], "left_anti").orderBy("source", "target").limit(top)
+
+
+def cycles(edges: DataFrame, top: int = 20, longest: int | None = None) -> DataFrame:
     """The first `top` simple cycles by length, then ids; each starts with its least node.
 
     Nodes without an edge in or out are trimmed first. Paths grow by one edge a round, only to nodes above their start,
     and the rounds end with the length at which enough cycles are known, so longer ones are never enumerated.
     """
-    e = edges.select("source", "target").where("source <> target").distinct()
+    e = checkpointed(edges.select("source", "target").where("source <> target").distinct())
     while True:
         core = checkpointed(e.join(e.select(F.col("source").alias("target")).distinct(), "target", "left_semi").join(e.select(F.col("target").alias("source")).distinct(), "source", "left_semi").select("source", "target"))
         if core.count() == e.count():
@@ -87,7 +117,7 @@ def cycles(edges: DataFrame, top: int = 20, longest: int = 32) -> DataFrame:
     paths = core.where("target > source").select(F.col("source").alias("start"), F.col("target").alias("end"), F.array("source", "target").alias("path"))
     back = core.select(F.col("source").alias("end"), F.col("target").alias("start"))
     found, n = None, 0
-    for length in range(2, longest + 1):
+    for length in count(2) if longest is None else range(2, longest + 1):
         paths = checkpointed(paths)
         if paths.isEmpty():
             break

@@ -1,35 +1,35 @@
 """Neighbours, reachability and paths, a level at a time.
 
-A level joins the frontier with the edges and drops what was seen before. Frontiers are cut by checkpoint() into the
-shared folder every few levels, so a lost executor costs no replay. The frontier is broadcast only while it is counted
-as small; a large one is shuffled on the node.
+A level joins the frontier with the edges and drops what was seen before. Each level is a table written to the shared
+folder, so a lost executor costs no replay. A frontier of a few nodes becomes a filter that the scan takes; it is
+broadcast only while it is counted as small; a large one is shuffled on the node.
 """
 
 from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.columns import has_relation, is_project, is_test_file
 from lodestone.operators.build import Graph
+from lodestone.sources.shared import cut, drop
 
 CALLS = ("calls", "references")
-FEW, EVERY = 50_000, 4
+#: So many nodes are a filter of the scan, so many a broadcast.
+FEW, SOME = 10, 50_000
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    spark: SparkSession = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints")
-    return df.checkpoint()
+    """The rows as a table in the shared folder."""
+    return cut(df)
 
 
 def neighbours(graph: Graph, node: str, out: bool, relations: tuple[str, ...] = ()) -> DataFrame:
     """The nodes across a node's edges, with the relation met: all of them, in order of id once sorted."""
     mine, other = ("source", "target") if out else ("target", "source")
-    edges = graph.edges.where(F.col(mine) == node)
+    edges = (graph.edges if out else graph.into).where(F.col(mine) == node)
     if relations:
         edges = edges.where(has_relation(*relations))
     ends = edges.select(F.col(other).alias("id"), "relation", "confidence", "weight")
@@ -38,54 +38,61 @@ def neighbours(graph: Graph, node: str, out: bool, relations: tuple[str, ...] =
 
 def listed(rows: DataFrame, cap: int = 200) -> DataFrame:
     """The first `cap` rows by id; each has the total and whether it was cut."""
+    rows = cut(rows)
     total = rows.agg(F.count("*").alias("total"))
     return rows.orderBy("id").limit(cap).join(F.broadcast(total)).withColumn("truncated", F.col("total") > cap).orderBy("id")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+def _across(step: DataFrame, frontier: DataFrame) -> DataFrame:
+    """step (a, b) joined with the frontier on a = id."""
+    few = [r.id for r in frontier.select("id").limit(FEW + 1).collect()]
+    if len(few) <= FEW:
+        step = step.where(F.col("a").isin(few))
+    side = frontier.withColumnRenamed("id", "a")
+    return step.join(F.broadcast(side) if len(few) <= FEW or frontier.limit(SOME + 1).count() <= SOME else side, "a")
 
 
-def reachable(edges: DataFrame, starts: DataFrame, depth: int | None, backwards: bool = False, undirected: bool = False) -> DataFrame:
+def reachable(graph: Graph, starts: DataFrame, depth: int | None, backwards: bool = False, undirected: bool = False) -> DataFrame:
     """(id, depth) of every node within `depth` steps of the starts, or any number (None), these included at 0."""
-    step = edges.select(F.col("source").alias("a"), F.col("target").alias("b"))
-    if undirected:
-        step = step.union(step.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    elif backwards:
-        step = step.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    seen = checkpointed(starts.select("id").distinct().withColumn("depth", F.lit(0)))
-    frontier = seen
+    ahead = graph.edges.select(F.col("source").alias("a"), F.col("target").alias("b"))
+    back = graph.into.select(F.col("target").alias("a"), F.col("source").alias("b"))
+    step = ahead.union(back) if undirected else back if backwards else ahead
+    frontier = cut(starts.select("id").distinct().withColumn("depth", F.lit(0)))
+    levels, seen = [frontier], frontier
     for d in count(1) if depth is None else range(1, depth + 1):
-        new = step.join(_small(frontier.select(F.col("id").alias("a"))), "a").select(F.col("b").alias("id")).distinct()
-        new = checkpointed(new.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(d)))
-        if new.isEmpty():
+        new = _across(step, frontier.select("id")).select(F.col("b").alias("id")).distinct()
+        frontier = cut(new.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(d)))
+        levels.append(frontier)
+        if frontier.isEmpty():
             break
-        seen = seen.union(new)
-        if d % EVERY == 0:
-            seen = checkpointed(seen)
-        frontier = new
-    return seen
+        seen = seen.union(frontier)
+    found = cut(seen)
+    drop(*levels)
+    return found
 
 
-def path(edges: DataFrame, source: str, target: str, depth: int = 32, relations: tuple[str, ...] = ()) -> tuple[list[str] | None, bool]:
+def path(graph: Graph, source: str, target: str, depth: int = 32, relations: tuple[str, ...] = ()) -> tuple[list[str] | None, bool]:
     """The least of the shortest paths by its ids, and whether the depth cut the search off."""
     if source == target:
         return [source], False
-    step = (edges.where(has_relation(*relations)) if relations else edges).select(F.col("source").alias("a"), F.col("target").alias("b"))
-    spark = edges.sparkSession
-    seen = checkpointed(spark.createDataFrame([(source, [source])], "id string, path array<string>"))
-    frontier = seen
-    for _ in range(depth):
-        new = step.join(_small(frontier.withColumnRenamed("id", "a")), "a").where("b <> a")
-        new = new.groupBy(F.col("b").alias("id")).agg(F.min(F.concat("path", F.array("b"))).alias("path"))
-        new = checkpointed(new.join(seen.select("id"), "id", "left_anti"))
-        if hit := new.where(F.col("id") == target).first():
-            return hit.path, False
-        if new.isEmpty():
-            return None, False
-        seen, frontier = checkpointed(seen.select("id").union(new.select("id"))), new
-    beyond = step.join(_small(frontier.select(F.col("id").alias("a"))), "a").select(F.col("b").alias("id")).join(seen.select("id"), "id", "left_anti")
-    return None, not beyond.isEmpty()
+    step = (graph.edges.where(has_relation(*relations)) if relations else graph.edges).select(F.col("source").alias("a"), F.col("target").alias("b"))
+    frontier = cut(graph.edges.sparkSession.createDataFrame([(source, [source])], "id string, path array<string>"))
+    seen, levels = frontier.select("id"), [frontier]
+    try:
+        for _ in range(depth):
+            new = _across(step, frontier).where("b <> a")
+            new = new.groupBy(F.col("b").alias("id")).agg(F.min(F.concat("path", F.array("b"))).alias("path"))
+            frontier = cut(new.join(seen, "id", "left_anti"))
+            levels.append(frontier)
+            if hit := frontier.where(F.col("id") == target).first():
+                return hit.path, False
+            if frontier.isEmpty():
+                return None, False
+            seen = seen.union(frontier.select("id"))
+        beyond = _across(step, frontier.select("id")).select(F.col("b").alias("id")).join(seen, "id", "left_anti")
+        return None, not beyond.isEmpty()
+    finally:
+        drop(*levels)
 
 
 def starts_of(nodes: DataFrame, changes: list[str]) -> DataFrame:
@@ -99,14 +106,14 @@ def impact(graph: Graph, starts: DataFrame, depth: int = 2) -> DataFrame:
 
     Start nodes give tests only.
     """
-    found = reachable(graph.edges, starts, depth, backwards=True).join(graph.nodes.select("id", "source_file"), "id").where("source_file <> ''")
+    found = reachable(graph, starts, depth, backwards=True).join(graph.nodes.select("id", "source_file"), "id").where("source_file <> ''")
     test = is_test_file(F.col("source_file"))
     return found.where(test | (F.col("depth") > 0)).select(F.col("source_file").alias("path"), F.when(test, "likely_test").otherwise("impacted_file").alias("what")).distinct()
 
 
-def neighbourhood(edges: DataFrame, starts: DataFrame, most: int = 10_000, depth: int = 64) -> tuple[DataFrame, bool]:
+def neighbourhood(graph: Graph, starts: DataFrame, most: int = 10_000, depth: int = 64) -> tuple[DataFrame, bool]:
     """Undirected reach of the starts; a report that stops at `most` nodes, the nearest and then the least, and says so."""
-    found = reachable(edges, starts, depth, undirected=True)
+    found = reachable(graph, starts, depth, undirected=True)
     return found.orderBy("depth", "id").limit(most), found.limit(most + 1).count() > most
 
 

@@ -57,7 +57,7 @@ def _neighbours(out: bool, relations: tuple[str, ...] = ()):
 
 def _path(relations: tuple[str, ...] = ()):
     def run(g, ids, options):
-        found, cut = traverse.path(g.edges, ids["source"], ids["target"], options["max_depth"], relations)
+        found, cut = traverse.path(g, ids["source"], ids["target"], options["max_depth"], relations)
         return g.nodes.sparkSession.createDataFrame([(found is not None, found or [], cut)], "found boolean, path array<string>, truncated boolean")
 
     return run

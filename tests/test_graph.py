@@ -120,7 +120,7 @@ def test_paths(spark):
         g = graph_of(spark, sorted(pairs))
         for _ in range(3):
             a, b = rng.sample(sorted({x for p in pairs for x in p}), 2)
-            assert traverse.path(g.edges, a, b, depth) == plain_path(pairs, a, b, depth)
+            assert traverse.path(g, a, b, depth) == plain_path(pairs, a, b, depth)
 
 
 def plain_cycles(pairs):
@@ -221,5 +221,5 @@ def test_context_and_review(spark):
     assert context.review(g, ["src/mod.py"])["level"] == "medium" and context.review(g, ["package.json"])["level"] == "high"
     assert context.classify("Fix login session", 1, 0, False) == {"category": "authentication", "risk": "high", "complexity": 6, "broad_impact": False}
     assert context.classify("update the docs", 1, 25, False)["risk"] == "medium"
-    found, cut = traverse.neighbourhood(g.edges, spark.createDataFrame([("a",)], "id string"), 2)
+    found, cut = traverse.neighbourhood(g, spark.createDataFrame([("a",)], "id string"), 2)
     assert found.count() == 2 and cut
