@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.columns import edge_language, has_relation, interop_family
 from lodestone.functions.ids import normalize_id
+from lodestone.sources.shared import cut
 
 
 @dataclass(frozen=True)
@@ -61,7 +62,9 @@ def build_graph(nodes: DataFrame, edges: DataFrame, ascii_ids: bool = False) ->
     kept = nodes.groupBy("id").agg(F.max_by(F.struct(*attrs), F.struct("raw", *[F.col(c) for c in attrs])).alias("a")).select("id", "a.*")
 
     edges = _with(edges, {"relation": "string", "source_file": "string", "source_location": "string", "context": "string", "confidence": "string", "weight": "double"})
-    edges = edges.withColumns({"s": normalize_id(F.col("source"), ascii_ids), "t": normalize_id(F.col("target"), ascii_ids)}).where("s <> '' and t <> '' and s <> t")
+    # A filter on a projection is pushed below it and works its expressions out again; it isn't pushed below a generator.
+    ends = F.struct(normalize_id(F.col("source"), ascii_ids).alias("s"), normalize_id(F.col("target"), ascii_ids).alias("t"))
+    edges = edges.select("*", F.inline(F.array(ends))).where("s <> '' and t <> '' and s <> t")
     key = F.struct("source", "target", F.coalesce("relation", F.lit("")).alias("relation"))
     first = F.struct(key.alias("key"), "source_file", "source_location", "context", "confidence")
     weight = F.coalesce(F.nullif(F.col("weight"), F.lit(0.0)), F.lit(1.0))
@@ -86,6 +89,7 @@ def dispatch_methods(edges: DataFrame, nodes: DataFrame, imports: DataFrame, mos
     Calls that agree in name, family and file are one question, asked once. Without the import gate a question's
     candidates depend on name and family alone, so a name that too many methods share is cut before it meets a call.
     """
+    edges = cut(edges)  # read four times below
     open_call = (F.col("relation") == "calls") & F.col("called").isNotNull() & ~F.col("confidence").eqNullSafe("EXTERNAL_CALL")
     family = lambda c: F.when(edge_language(F.col(c)) != "other", interop_family(F.col(c)))
     asks = edges.select(F.when(open_call, F.lower("called")).alias("nm"), "source_file").where("nm is not null").distinct()
@@ -105,7 +109,7 @@ def dispatch_methods(edges: DataFrame, nodes: DataFrame, imports: DataFrame, mos
     python = asks.where("py").join(near, "source_file").join(methods, ["nm", "method_file"]).where(fits).select("nm", "source_file", "method")
     found = plain.union(python).distinct()
     counted = found.groupBy("nm", "source_file").agg(F.count("*").alias("k")).where(F.col("k") <= most).drop("k")
-    found = found.join(counted, ["nm", "source_file"], "left_semi").select("nm", F.col("source_file").alias("file"), "method")
+    found = cut(found.join(counted, ["nm", "source_file"], "left_semi").select("nm", F.col("source_file").alias("file"), "method"))
 
     known = nodes.select(F.col("id").alias("target")).distinct().withColumn("known", F.lit(True))
     asked = edges.withColumn("nm", F.when(open_call, F.lower("called")))

@@ -12,9 +12,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def path_of(name: str, key: Column) -> Column:
     """Every tenth entity lies below tests/; extensions take turns."""
-    ext = F.element_at(F.array(*[F.lit(x) for x in ("py", "ts", "rs", "go")]), (key % 4 + 1).cast("int"))
+    ext = F.when(key % 4 == 0, ".py").when(key % 4 == 1, ".ts").when(key % 4 == 2, ".rs").otherwise(".go")
     folder = F.when(key % 10 == 0, f"src/{name}/tests/").otherwise(f"src/{name}/")
-    return F.concat(folder, key.cast("string"), F.lit("."), ext)
+    return F.concat(folder, key.cast("string"), ext)
 
 
 def id_of(name: str, key: Column) -> Column:
