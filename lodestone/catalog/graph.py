@@ -321,6 +321,22 @@ ORACLE_SQL = {
     "graph_edges": f"WITH {G} SELECT source, target, relation, array_to_string(relations, ',') AS relations, confidence, source_file, weight FROM edges",
     "placeholder_nodes": f"WITH {G} SELECT id, name FROM nodes WHERE kind = 'unknown'",
     "method_dispatch": _dispatch_sql(),
+    "node_context": f"""WITH RECURSIVE {G}, r(id, depth) AS (SELECT unnest(['nation_3', 'orders_1']), 0 UNION SELECT source, depth + 1 FROM r JOIN edges ON target = id WHERE depth < 2),
+        mine AS (SELECT d.*, n.name FROM deg d JOIN nodes n USING (id) WHERE d.id IN ('nation_3', 'orders_1')),
+        f AS (SELECT id, 'summary' AS section, concat_ws(' ', kind, name, in_degree, out_degree) AS item FROM mine
+            UNION ALL SELECT id, 'risk', unnest(list_filter([CASE WHEN in_degree >= 10 THEN 'many_dependents' END, CASE WHEN out_degree >= 25 THEN 'many_dependencies' END, CASE WHEN in_degree = 0 THEN 'no_dependents' END, CASE WHEN out_degree = 0 THEN 'no_dependencies' END], lambda x: x IS NOT NULL)) FROM mine
+            UNION ALL SELECT target, 'dependent', source FROM edges WHERE target IN ('nation_3', 'orders_1') UNION ALL SELECT source, 'dependency', target FROM edges WHERE source IN ('nation_3', 'orders_1')
+            UNION ALL SELECT '*', what, path FROM (SELECT DISTINCT source_file AS path, {T} AS what FROM (SELECT id, min(depth) AS depth FROM r GROUP BY id) JOIN nodes USING (id) WHERE depth > 0 OR {T} = 'likely_test'))
+        SELECT id, section, item, count(*) OVER (PARTITION BY id, section) AS total FROM f QUALIFY row_number() OVER (PARTITION BY id, section ORDER BY item) <= 20""",
+    "review_packet": f"""WITH RECURSIVE {G}, c(packet, path) AS (VALUES (0, 'src/nation/3.go'), (1, 'src/orders/1.ts'), (1, 'README.md'), (2, 'package.json'), (2, 'x.py')),
+        k(packet, stale, deleted, sensitive) AS (VALUES (0, false, false, false), (1, false, false, false), (2, true, true, true)),
+        r(packet, id, depth) AS (SELECT packet, id, 0 FROM c JOIN nodes ON source_file = path OR id = path UNION SELECT packet, source, depth + 1 FROM r JOIN edges ON target = id WHERE depth < 2),
+        i AS (SELECT DISTINCT packet, source_file, {T} AS what FROM (SELECT packet, id, min(depth) AS depth FROM r GROUP BY ALL) JOIN nodes USING (id) WHERE source_file <> '' AND (depth > 0 OR {T} = 'likely_test')),
+        m AS (SELECT k.*, (SELECT count(*) FROM i WHERE i.packet = k.packet AND what = 'impacted_file') AS impacted, (SELECT count(*) FROM i WHERE i.packet = k.packet AND what = 'likely_test') AS tests,
+            EXISTS (SELECT 1 FROM c WHERE c.packet = k.packet AND path NOT IN (SELECT source_file FROM raw_nodes)) AS missing FROM k),
+        f AS (SELECT packet, impacted, tests, list_filter([CASE WHEN stale THEN 'GRAPH_STALE' END, CASE WHEN deleted THEN 'DELETED_FILES' END, CASE WHEN sensitive THEN 'SENSITIVE_CONFIG' END, CASE WHEN impacted >= 10 THEN 'BROAD_IMPACT' END,
+            CASE WHEN missing THEN 'MISSING_GRAPH_MATCHES' END, CASE WHEN tests = 0 THEN 'NO_LIKELY_TESTS' END], lambda x: x IS NOT NULL) AS flags, stale OR deleted OR sensitive OR impacted >= 10 AS high FROM m)
+        SELECT packet, CASE WHEN high THEN 'high' WHEN len(flags) > 0 THEN 'medium' ELSE 'low' END AS level, array_to_string(flags, ',') AS flags, CAST(impacted AS INTEGER) AS impacted, CAST(tests AS INTEGER) AS tests FROM f""",
     "event_cycles": """WITH RECURSIVE e AS (SELECT DISTINCT event_type AS s, t FROM (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t FROM events) WHERE t IS NOT NULL AND t <> event_type),
         p(start, last, path) AS (SELECT s, t, [s, t] FROM e WHERE t > s UNION ALL SELECT start, e.t, list_append(path, e.t) FROM p JOIN e ON e.s = p.last WHERE e.t > start AND NOT list_contains(path, e.t) AND len(path) < 32)
         SELECT CAST(len(path) AS INTEGER) AS length, array_to_string(path, '>') AS cycle FROM p JOIN e ON e.s = p.last AND e.t = p.start ORDER BY 1, 2 LIMIT 84""",

@@ -170,5 +170,10 @@ ORACLE_SQL = {
         SELECT c_name AS name, arg_max(prefix, length(prefix)) AS prefix FROM customer LEFT JOIN p ON starts_with(c_name, prefix) GROUP BY c_name""",
     "link_extract": """SELECT page_id, CAST(len(h) AS BIGINT) AS links, CAST(len(list_distinct(h)) AS BIGINT) AS targets FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS h FROM pages) WHERE len(h) > 0""",
     "text_references": "SELECT file, CAST(i AS INTEGER) AS line, l[i] AS text FROM (SELECT doc_id AS file, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE contains(lower(l[i]), 'that and')",
+    "context_budget": """WITH RECURSIVE d AS (SELECT source AS scope, n_chars AS bytes, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS p FROM documents),
+        w(scope, p, n, size, verdict, bytes) AS (SELECT DISTINCT scope, 0::BIGINT, 0::BIGINT, 0::BIGINT, '', 0::BIGINT FROM d UNION ALL
+            SELECT d.scope, d.p, w.n + CASE WHEN w.n < 12 AND w.size + d.bytes <= 20000 THEN 1 ELSE 0 END, w.size + CASE WHEN w.n < 12 AND w.size + d.bytes <= 20000 THEN d.bytes ELSE 0 END,
+                CASE WHEN w.n >= 12 THEN 'max_files' WHEN w.size + d.bytes > 20000 THEN 'max_bytes' ELSE 'taken' END, d.bytes FROM w JOIN d ON d.scope = w.scope AND d.p = w.p + 1)
+        SELECT scope, verdict, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM w WHERE p > 0 GROUP BY ALL""",
     "task_categories": f"WITH d AS (SELECT lower(regexp_replace(trim(text), '\\s+', ' ', 'g')) AS t FROM documents) SELECT {CATEGORY} AS category, count(*) AS n FROM d GROUP BY 1",
 }

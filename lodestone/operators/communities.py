@@ -86,4 +86,4 @@ def rollup(nodes: DataFrame) -> DataFrame:
     # The common beginning of all folders is that of the least and the greatest.
     pairs = F.arrays_zip(F.slice("low", 1, F.least(F.size("low"), F.size("high"))).alias("l"), F.slice("high", 1, F.least(F.size("low"), F.size("high"))).alias("h"))
     same = F.aggregate(pairs, F.struct(F.lit("").alias("p"), F.lit(True).alias("on")), lambda acc, x: F.struct(F.when(acc["on"] & (x["l"] == x["h"]), F.concat_ws("/", F.nullif(acc["p"], F.lit("")), x["l"])).otherwise(acc["p"]).alias("p"), (acc["on"] & (x["l"] == x["h"])).alias("on")), lambda acc: acc["p"])
-    return found.select("community", "size", "file_count", "function_count", "class_count", F.coalesce(same, F.lit("")).alias("folder"), F.concat("modal", F.lit("s")).alias("kind_label"))
+    return found.select("community", "size", "file_count", "function_count", "class_count", F.coalesce(F.nullif(same, F.lit(".")), F.lit("")).alias("folder"), F.when(F.col("modal") != "unknown", F.concat("modal", F.lit("s"))).alias("kind_label"))

@@ -59,10 +59,10 @@ def benchmark(rows: DataFrame, policy: str, group: str) -> DataFrame:
 
 
 def better(candidate: DataFrame, baseline: DataFrame) -> DataFrame:
-    """candidate when both samples suffice and its bound is above, else baseline."""
+    """candidate when both samples suffice and its bound is above, else baseline; each is a table of one row."""
     a, b = candidate.select(F.struct("lower", "sufficient").alias("a")), baseline.select(F.struct("lower", "sufficient").alias("b"))
     win = F.col("a.sufficient") & F.col("b.sufficient") & (F.col("a.lower") > F.col("b.lower"))
-    return a.join(F.broadcast(b)).select(F.when(win, "candidate").otherwise("baseline").alias("winner"))
+    return a.limit(1).join(F.broadcast(b.limit(1))).select(F.when(win, "candidate").otherwise("baseline").alias("winner"))
 
 
 def _points(c: str, table: dict[str, int]) -> Column:
@@ -134,12 +134,21 @@ def worst(rows: DataFrame, order: tuple[str, ...] = ("ready", "optional", "degra
 
 
 def project_health(rows: DataFrame, cap: int = 10) -> DataFrame:
-    """rows: (project, item, state). Counts of failing, pending and stale, and at most `cap` names of each, the least."""
+    """rows: (project, item, state). Counts of failing, pending and stale, and at most `cap` names of each, the least.
+
+    The names come from a row_number that is cut at `cap`, which each task applies before the shuffle; the counts are an
+    aggregate. So a project with any share of the rows sends a few of them.
+    """
     from pyspark.sql import Window
 
+    states = ("failing", "pending", "stale")
+    counts = rows.groupBy("project").agg(*[F.count_if(F.col("state") == s).alias(s) for s in states])
     place = F.row_number().over(Window.partitionBy("project", "state").orderBy("item"))
-    named = rows.withColumn("place", place).groupBy("project").agg(*[F.count_if(F.col("state") == s).alias(s) for s in ("failing", "pending", "stale")], F.sort_array(F.collect_list(F.when((F.col("place") <= cap) & (F.col("state") == "failing"), F.col("item")))).alias("failing_items"))
-    return named.withColumn("status", F.when(F.col("failing") > 0, "degraded").when((F.col("pending") > 0) | (F.col("stale") > 0), "warning").otherwise("ok"))
+    named = rows.where(F.col("state").isin(*states)).withColumn("place", place).where(F.col("place") <= cap)
+    named = named.groupBy("project").agg(*[F.sort_array(F.collect_list(F.when(F.col("state") == s, F.col("item")))).alias(f"{s}_items") for s in states])
+    listed = [F.coalesce(f"{s}_items", F.array().cast(named.schema[f"{s}_items"].dataType)).alias(f"{s}_items") for s in states]
+    status = F.when(F.col("failing") > 0, "degraded").when((F.col("pending") > 0) | (F.col("stale") > 0), "warning").otherwise("ok")
+    return counts.join(named, "project", "left").select("project", *states, *listed, status.alias("status"))
 
 
 def within_budget(spark_rows: DataFrame, most_files: int, most_bytes: int) -> DataFrame:

@@ -85,6 +85,29 @@ def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*key, "r.*")
 
 
+def on_local_day(rows: DataFrame, ts: str, zone: str, day) -> DataFrame:
+    """The rows whose UTC time falls on a day of a time zone."""
+    return rows.where(F.to_date(F.from_utc_timestamp(ts, zone)) == day)
+
+
+def upsert_one(stored: DataFrame, new: DataFrame, order: str) -> DataFrame:
+    """A table that holds one row at most: the last by order of what is stored and what is new."""
+    return stored.unionByName(new).orderBy(F.desc(order)).limit(1)
+
+
+def daemon_status(projects: DataFrame) -> DataFrame:
+    """projects: (project, last_error, needs_build). One row: healthy, failing and pending ones, and ok or degraded."""
+    failing, pending = F.col("last_error").isNotNull(), F.coalesce(F.col("needs_build"), F.lit(False))
+    found = projects.agg(F.count("*").alias("projects"), F.count_if(~failing & ~pending).alias("healthy"), F.count_if(failing).alias("failing"), F.count_if(pending).alias("pending"))
+    return found.withColumn("status", F.when(F.col("failing") == 0, "ok").otherwise("degraded"))
+
+
+def observer_summary(rows: DataFrame) -> DataFrame:
+    """rows: (target, state, reason). Targets by state and reason, with how many there are of the state."""
+    each = rows.groupBy("state", "reason").agg(F.count("*").alias("n"))
+    return each.join(rows.groupBy("state").agg(F.count("*").alias("of_state")), "state")
+
+
 def append_once(stored: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """The new rows whose key isn't stored yet, one of each."""
     return new.dropDuplicates(key).join(stored.select(*key), key, "left_anti")

@@ -16,10 +16,14 @@ SKIP_SUFFIXES = (".lock", ".log", ".min.js", ".min.css", ".map", ".svg", ".png",
 MOST_BYTES, SNIFF, ENTRY_BYTES = 1_000_000, 8192, 8192
 
 
-def eligible(path):
-    """Whether a scan takes a relative path."""
+def eligible(path, dotfiles: bool = False, outputs: tuple[str, ...] = ()):
+    """Whether a scan takes a relative path. dotfiles: also where a part begins with a dot. outputs: folders of the tool's own."""
     parts = F.split(path, "/")
-    ok = ~F.arrays_overlap(parts, F.array(*[F.lit(d) for d in SKIP_DIRS])) & ~F.element_at(parts, -1).startswith(".")
+    ok = ~F.arrays_overlap(parts, F.array(*[F.lit(d) for d in SKIP_DIRS]))
+    if not dotfiles:
+        ok = ok & ~F.exists(parts, lambda p: p.startswith("."))
+    for folder in outputs:
+        ok = ok & (path != folder.strip("/")) & ~path.startswith(folder.strip("/") + "/")
     for s in SKIP_SUFFIXES:
         ok = ok & ~F.lower(path).endswith(s)
     return ok

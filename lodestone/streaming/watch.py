@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -53,15 +53,17 @@ def settled(snapshot: Callable[[], dict[str, str]], pause: Callable[[], None], r
     return last
 
 
-def transitions(events: DataFrame) -> DataFrame:
+def transitions(events: DataFrame, remember: int = 10_000) -> DataFrame:
     """A stream of (boundary, event_id, expected, next, occurred_at) to verdicts: applied, duplicate, stale or conflict.
 
-    An event applies if its expected state is the current one and it is not older than the last change.
+    An event applies if its expected state is the current one and it is not older than the last change. A boundary
+    remembers the last `remember` ids that it applied; an older one that comes again is older than the last change too,
+    hence stale, so it is not applied in any case.
     """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState):
         current, updated, seen = state.get if state.exists else ("new", -1, [])
-        seen, out = list(seen), []
+        seen, out = dict.fromkeys(seen), []
         rows = pd.concat(list(batches)).sort_values(["occurred_at", "event_id"])
         for r in rows.itertuples():
             if r.event_id in seen:
@@ -72,17 +74,17 @@ def transitions(events: DataFrame) -> DataFrame:
                 verdict = "conflict"
             else:
                 verdict, current, updated = "applied", r.next, int(r.occurred_at)
-                seen.append(r.event_id)
+                seen[r.event_id] = None
             out.append((key[0], r.event_id, verdict, current))
-        state.update((current, updated, seen))
+        state.update((current, updated, list(seen)[-remember:]))
         yield pd.DataFrame(out, columns=["boundary", "event_id", "verdict", "state"])
 
     return events.groupBy("boundary").applyInPandasWithState(step, "boundary string, event_id string, verdict string, state string", "current string, updated long, seen array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
 def violations(events: DataFrame, allowed: DataFrame) -> DataFrame:
-    """Events whose (before, after) is no allowed transition, a small table."""
-    return events.join(F.broadcast(allowed.limit(10_000)), ["before", "after"], "left_anti")
+    """Events whose (before, after) is no allowed transition."""
+    return events.join(allowed.select("before", "after").distinct(), ["before", "after"], "left_anti")
 
 
 def freshness(manifest: DataFrame, scan: DataFrame, engine: str, scanned_engine: str) -> DataFrame:
@@ -98,15 +100,6 @@ def active(markers: DataFrame, now: int, ttl: int = 3600) -> DataFrame:
     return markers.where((F.lit(now) - F.col("seen_at") <= ttl) & (F.col("seen_at") <= now))
 
 
-def identity_change(before: str = "before", after: str = "after") -> Column:
-    """Of two structs (binary, version, model): what changed, the gravest first."""
-    b, a = F.col(before), F.col(after)
-    return (
-        F.when(b.isNull() & a.isNull(), "absent").when(b.isNull(), "appeared").when(a.isNull(), "vanished")
-        .when(~b["binary"].eqNullSafe(a["binary"]), "binary_changed").when(~b["model"].eqNullSafe(a["model"]), "model_changed").when(~b["version"].eqNullSafe(a["version"]), "version_changed").otherwise("same")
-    )
-
-
 def backoff(failures: int, base: float, most: float, name: str) -> float:
     """Seconds until the next try: doubling, capped, with up to a tenth of jitter fixed by the name."""
     wait = min(most, base * 2 ** min(failures, 40))
