@@ -12,7 +12,7 @@ from lodestone.catalog.logs import E, wilson
 from lodestone.operators import authority, channel, evidence, health, ledger
 from lodestone.sources import tables
 
-AT, PREVIOUS, NEW, AGENT = 500, 3, 7, "agent_2"
+AT, PREVIOUS, NEW, AGENT = 5, 3, 7, "agent_2"
 
 
 def _table(spark, sf_dir, name):
@@ -38,7 +38,7 @@ def _bindings(spark, sf_dir):
     """Customers are snapshots bound to their nation; orders carry them to another one."""
     customer = _table(spark, sf_dir, "customer")
     bindings = customer.select(F.col("c_custkey").cast("long").alias("snapshot"), F.col("c_nationkey").cast("long").alias("identity"))
-    snapshots = customer.select(F.col("c_custkey").cast("long").alias("snapshot"), (F.col("c_custkey") % 1000).cast("long").alias("expires_at"))
+    snapshots = customer.select(F.col("c_custkey").cast("long").alias("snapshot"), (F.col("c_custkey") % 10).cast("long").alias("expires_at"))
     carries = _table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").cast("long").alias("carry_id"), F.col("o_custkey").cast("long").alias("snapshot"), (F.col("o_orderkey") % 25).cast("long").alias("new_identity"))
     return bindings, carries, snapshots
 
@@ -213,7 +213,7 @@ ORACLE_SQL = {
         o AS (SELECT l_orderkey * 8 + l_linenumber AS execution_id, CAST(l_quantity < 40 AS INTEGER) AS success, CAST(l_quantity > 48 AS INTEGER) AS severe FROM lineitem WHERE l_partkey % 3 < 2)
         SELECT CAST(model AS BIGINT) AS model, effort, o_orderpriority AS category, o_orderstatus AS risk, count(*) AS n, CAST(sum(success) AS BIGINT) AS successes, CAST(sum(severe) AS BIGINT) AS severe
         FROM o JOIN x USING (execution_id) JOIN orders ON o_orderkey = task_id GROUP BY ALL""",
-    "carry_forward": f"WITH {BOUND} SELECT snapshot, CAST({PREVIOUS} AS BIGINT) AS previous_identity, CAST({NEW} AS BIGINT) AS new_identity, CAST({AT} AS BIGINT) AS carried_at FROM bound WHERE identity = {PREVIOUS} AND snapshot % 1000 > {AT}",
+    "carry_forward": f"WITH {BOUND} SELECT snapshot, CAST({PREVIOUS} AS BIGINT) AS previous_identity, CAST({NEW} AS BIGINT) AS new_identity, CAST({AT} AS BIGINT) AS carried_at FROM bound WHERE identity = {PREVIOUS} AND snapshot % 10 > {AT}",
     "authority_targets": f"WITH {BOUND} SELECT 'snapshot' AS kind, CAST(snapshot AS VARCHAR) AS target FROM bound WHERE identity = {PREVIOUS} UNION ALL SELECT 'approval', CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_nationkey = {PREVIOUS} AND {STATUS} = 'issued'",
     "invalidated_approvals": f"SELECT s_suppkey AS approval_id, CASE WHEN s_nationkey = {PREVIOUS} AND {STATUS} = 'issued' THEN 'invalidated' ELSE {STATUS} END AS status FROM supplier",
     "approval_consumption": f"""WITH q AS (SELECT l_suppkey AS k, l_linenumber = 7 AS lost, l_partkey % 120 AS now, l_suppkey % 13 + CASE l_returnflag WHEN 'R' THEN 1 ELSE 0 END AS tokens FROM lineitem)
