@@ -216,7 +216,9 @@ def js_file(spec: str, path: str, known: frozenset[str]) -> str | None:
         elif p not in ("", "."):
             parts.append(p)
     base = "/".join(parts)
-    tried = [base] + [base[: -len(c)] + s for c, ss in SOURCES.items() if base.endswith(c) for s in ss] + [base + e for e in (*EXTENSIONS, *INDEXES)]
+    name = parts[-1] if parts else ""
+    ending = name[name.rindex(".") :] if "." in name.lstrip(".") else ""
+    tried = [base[: len(base) - len(ending)] + s for s in SOURCES.get(ending, ())] + [base] + ([] if ending else [base + e for e in (*EXTENSIONS, *INDEXES)])
     return next((t for t in tried if t in known), None)
 
 

@@ -24,13 +24,17 @@ def normal_path(path: Column) -> Column:
 
 
 def candidates(base: Column) -> Column:
-    """All paths that a base may stand for, best first."""
-    out = [F.array(base)]
+    """All paths that a base may stand for, best first.
+
+    A base with an extension stands for the sources of a compiled name, then for itself; another one for itself, with each
+    extension, and as a folder with an index. Dots and slashes in front are no part of a path.
+    """
+    ending = F.regexp_extract(base, r"[^/.][^/]*?(\.[^./]*)$", 1)
+    stem = F.left(base, F.length(base) - F.length(ending))
+    tried = F.when(ending == "", F.array(base, *[F.concat(base, F.lit(e)) for e in (*EXTENSIONS, *INDEXES)]))
     for compiled, sources in SOURCES.items():
-        stem = F.regexp_replace(base, compiled.replace(".", r"\.") + "$", "")
-        out.append(F.when(base.endswith(compiled), F.array(*[F.concat(stem, F.lit(s)) for s in sources])).otherwise(F.array().cast("array<string>")))
-    out.append(F.array(*[F.concat(base, F.lit(e)) for e in (*EXTENSIONS, *INDEXES)]))
-    return F.concat(*out)
+        tried = tried.when(ending == compiled, F.array(*[F.concat(stem, F.lit(e)) for e in sources], base))
+    return F.transform(tried.otherwise(F.array(base)), lambda p: F.ltrim(p, F.lit("./")))
 
 
 def first_existing(asked: DataFrame, tried: Column, files: DataFrame) -> DataFrame:
