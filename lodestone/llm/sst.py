@@ -205,9 +205,12 @@ def write(docs: DataFrame, folder: str, scratch: Scratch, tokenizer: str | None
 
 def _read(digests):
     def run(it):
+        reader = opened = None
         for batch in it:
             for path, block, start in zip(*(batch[c].to_pylist() for c in ("path", "block", "start")), strict=True):
-                reader, out = Reader(path), []
+                if path != opened:
+                    reader, opened = Reader(path), path
+                out = []
                 for key, ids in reader.block(block):
                     out.append((id_of(key), start, len(ids), zlib.crc32(ids.tobytes()) if digests else ids))
                     start += len(ids)
@@ -221,7 +224,7 @@ def _read(digests):
 def read_back(manifest: DataFrame, digests: bool = False) -> DataFrame:
     """Every document of the shards, read block by block: doc_id, start, n_tokens and ids (digests: their crc32).
 
-    The driver sums the ids of the shards, one number for each file.
+    A shard is read by one task, which opens it and reads its index once and holds one block at a time. The driver sums the ids of the shards, one number for each file.
     """
     spark = manifest.sparkSession
     sums = manifest.where("block = 0").select("shard", "n_ids").orderBy("shard").toLocalIterator()
@@ -230,8 +233,8 @@ def read_back(manifest: DataFrame, digests: bool = False) -> DataFrame:
         starts.append((shard, start))
         start += n
     before = spark.createDataFrame(starts, "shard int, shard_start long")
-    units = manifest.join(before, "shard").select("path", "block", (F.col("shard_start") + F.col("ids_before")).alias("start"))
-    units = units.repartition(partitions(spark), "path", "block")
+    units = manifest.join(before, "shard").select("shard", "path", "block", (F.col("shard_start") + F.col("ids_before")).alias("start"))
+    units = units.repartitionById(partitions(spark), "shard").sortWithinPartitions("shard", "path", "block")
     return units.mapInArrow(_read(digests), "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digests else "ids array<long>"))
 
 
