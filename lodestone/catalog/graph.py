@@ -144,7 +144,7 @@ def answer_grade(spark, sf_dir):
 
 def validate_issues(spark, sf_dir):
     nodes, edges = tables.commerce_nodes(spark, sf_dir), tables.commerce_edges(spark, sf_dir)
-    return health.validate(nodes, edges).groupBy("severity", "code").agg(F.count("*").alias("n"))
+    return health.validate(nodes, edges).groupBy("severity", "code").agg(F.sum("n").alias("n"))
 
 
 def node_dedup(spark, sf_dir):
@@ -314,7 +314,7 @@ ORACLE_SQL = {
         q AS (SELECT question, empty, count(c.total) FILTER (c.total > 0) AS measured, coalesce(bool_or(floor(bound / nullif(total, 0)::DOUBLE * 1000 + 0.5) / 1000 < 0.8), false) AS degraded, bool_or(a.relation = 'calls' OR a.language IN ('javascript', 'typescript')) AS u
               FROM a, (SELECT unnest([true, false]) AS empty) LEFT JOIN cells c ON c.language = a.language AND c.relation = a.relation GROUP BY question, empty)
         SELECT question, empty, measured, degraded, CASE WHEN degraded OR measured = 0 THEN CASE WHEN empty THEN 'inconclusive' ELSE 'advisory' END WHEN empty AND u THEN 'advisory' ELSE 'decision_grade' END AS grade FROM q""",
-    "validate_issues": f"""WITH {G} SELECT 'error' AS severity, 'edge_duplicate' AS code, count(*) AS n FROM (SELECT source, target FROM raw_edges GROUP BY 1, 2 HAVING count(*) > 1) HAVING count(*) > 0
+    "validate_issues": f"""WITH {G} SELECT 'warning' AS severity, 'edge_duplicate' AS code, CAST(sum(k - 1) AS BIGINT) AS n FROM (SELECT count(*) AS k FROM raw_edges GROUP BY source, target, relation HAVING count(*) > 1) HAVING count(*) > 0
         UNION ALL SELECT 'error', 'edge_target_unknown', count(*) FROM raw_edges WHERE target NOT IN (SELECT id FROM raw_nodes) HAVING count(*) > 0""",
     "node_dedup": "SELECT 'user_' || user_id AS id, min('src/' || event_type || '/' || event_id) AS source_file FROM events GROUP BY user_id",
     "edge_merge": "SELECT 'orders_' || l_orderkey AS source, 'supplier_' || l_suppkey AS target, l_returnflag AS relation, min('L' || l_linenumber) AS source_location, CAST(count(*) AS DOUBLE) AS weight FROM lineitem GROUP BY ALL",

@@ -166,9 +166,26 @@ def test_health_and_grades(spark):
 def test_validation(spark):
     nodes = nodes_of(spark, [("a", "file", "a", "../a"), ("a", "file", "a", "a.py"), ("", None, "x", None), ("b", "file", "b", "b.py")])
     edges = edges_of(spark, [("a", "a"), ("a", "zz"), ("b", "a"), ("b", "a"), ("", "a")])
-    codes = {r.code for r in health.validate(nodes, edges, 3, 5).collect()}
-    assert codes == {"node_id_missing", "node_duplicate", "node_path_unsafe", "node_kind_missing", "node_path_missing", "edge_end_missing", "edge_loop", "edge_duplicate", "edge_target_unknown", "node_count_differs"}
+    clusters = spark.createDataFrame([(0, ["a", "gone"])], "id int, members array<string>")
+    issues = health.validate(nodes, edges, 3, 5, clusters)
+    assert {(r.severity, r.code, r.subject): r.n for r in issues.collect()} == {
+        ("error", "node_id_missing", ""): 1, ("error", "node_id_duplicate", "a"): 1, ("error", "absolute_source_file", "a"): 1, ("error", "edge_source_missing", " -> a"): 1, ("error", "edge_target_unknown", "a -> zz"): 1,
+        ("warning", "edge_duplicate", "b -> a (calls)"): 1, ("error", "metadata_node_count", "4"): 1, ("warning", "cluster_member_unknown", "gone"): 1,
+    }
+    report = health.validation_report(issues).first()
+    assert (report.ok, report.error_count, report.warning_count) == (False, 6, 2)
     assert health.validate(nodes_of(spark, FIVE), edges_of(spark, [("src_app", "web_sync")])).count() == 0
+    assert [r.code for r in health.validate(nodes.where("false"), edges.where("false")).collect()] == ["empty_graph"]
+
+
+def test_bundle_types(spark):
+    texts = ['{"nodes": [], "edges": [], "metadata": {}}', '{"nodes": 1, "edges": [1, {}], "clusters": [3, {"members": "x"}, {}], "analysis": []}', "[]", "{", None]
+    found = {r.code: (r.severity, r.n) for r in health.bundle_types(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    assert found == {
+        "nodes_type": ("error", 1), "edge_type": ("error", 1), "metadata_type": ("error", 1), "cluster_type": ("warning", 1), "cluster_members_type": ("warning", 1), "analysis_type": ("warning", 1),
+        "graph_invalid": ("error", 1), "graph_invalid_json": ("error", 2),
+    }
+    assert health.bundle_types(spark.createDataFrame([(texts[0],)], "text string")).count() == 0
 
 
 def test_plans(spark):
