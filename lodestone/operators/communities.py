@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.traverse import checkpointed
@@ -36,6 +36,15 @@ def modularity(pairs: DataFrame, labels: DataFrame) -> float:
     return inner / m - ends.agg(F.sum(F.pow(F.col("k") / (2 * m), F.lit(2.0)))).first()[0]
 
 
+def numbered(rows: DataFrame, name: str, *order: Column) -> DataFrame:
+    """rows numbered from 0 by a total order: ranges are numbered within, from the sum of the ranges before."""
+    parts = checkpointed(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    before = F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.groupBy("part").count().select("part", before.alias("start"))  # as many rows as there are ranges
+    place = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    return parts.withColumn("place", place).join(F.broadcast(starts), "part").withColumn(name, (F.col("start") + F.col("place")).cast("int")).drop("part", "place", "start")
+
+
 def louvain(nodes: DataFrame, edges: DataFrame, sweeps: int = 8, levels: int = 4) -> DataFrame:
     """(id, community): numbered by size, then least member.
 
@@ -71,7 +80,7 @@ def louvain(nodes: DataFrame, edges: DataFrame, sweeps: int = 8, levels: int = 4
         up = current.join(labels.select(F.col("id").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b")
         current = checkpointed(up.groupBy(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).agg(F.sum("w").alias("w")))
     sizes = whole.groupBy("label").agg(F.count("*").alias("n"), F.min("id").alias("least"))
-    number = sizes.withColumn("community", (F.row_number().over(Window.orderBy(F.desc("n"), "least")) - 1).cast("int"))
+    number = numbered(sizes, "community", F.desc("n"), F.col("least"))
     return whole.join(number.select("label", "community"), "label").select("id", "community")
 
 

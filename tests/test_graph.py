@@ -231,6 +231,12 @@ def test_communities(spark):
     assert (r["size"], r.folder, r.kind_label) == (4, "src/pkg", "classs")
 
 
+def test_numbers_of_communities(spark):
+    rows = spark.range(1000).selectExpr("id % 7 as n", "id as least").repartition(9)
+    got = communities.numbered(rows, "i", communities.F.desc("n"), communities.F.col("least")).collect()
+    assert [(r.n, r.least) for r in sorted(got, key=lambda r: r.i)] == sorted(((r.n, r.least) for r in got), key=lambda r: (-r[0], r[1])) and sorted(r.i for r in got) == list(range(1000))
+
+
 def test_context_and_review(spark):
     g = graph_of(spark, [("a", "b"), ("b", "c"), ("d", "c")])
     got = {(r.section, r.item): r.total for r in context.context(g, ["c"]).collect()}
