@@ -40,7 +40,7 @@ def _rust_files(spark, sf_dir):
     manifest = """concat('[package]\nname = "r-', r_regionkey, '"\n', CASE WHEN r_regionkey < 2 THEN '[dependencies]\nserde-json = "1"\n' ELSE '' END)"""
     files = _rows(spark, sf_dir, "region", rel_path=home.format("Cargo.toml"), text=manifest)
     files = files.union(_rows(spark, sf_dir, "region", rel_path=home.format("src/lib.rs"), text="''"))
-    files = files.union(_rows(spark, sf_dir, "supplier", rel_path="concat('crates/r', s_suppkey % 5, '/src/m', s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN '.rs' ELSE '/mod.rs' END)", text="''").where("rel_path not like '%7.rs'"))
+    files = files.union(_rows(spark, sf_dir, "supplier", rel_path="concat('crates/r', s_suppkey % 5, '/src/m', s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN '.rs' ELSE '/mod.rs' END)", text="''"))
     return files.union(_rows(spark, sf_dir, "region", rel_path="CASE r_regionkey WHEN 0 THEN 'Cargo.toml' ELSE concat('broken/', r_regionkey, '/Cargo.toml') END", text="""CASE r_regionkey WHEN 0 THEN '[workspace.dependencies]\ntokio = "1"\n' ELSE '[package' END"""))
 
 
@@ -69,7 +69,7 @@ def community_rollup(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (typescript_imports, rust_uses, rust_mods, community_rollup)}
 
 INSIDE = "CASE WHEN c_custkey % 5 <> 0 THEN 'packages/n' || n || '/src/c' || c || CASE WHEN c % 2 = 0 THEN '.ts' ELSE '/index.tsx' END END"
-MODULE = "CASE WHEN s_suppkey IS NOT NULL AND NOT (s % 2 = 0 AND s % 10 = 7) THEN 'crates/r' || r || '/src/m' || s || CASE WHEN s % 2 = 0 THEN '.rs' ELSE '/mod.rs' END END"
+MODULE = "CASE WHEN s_suppkey IS NOT NULL THEN 'crates/r' || r || '/src/m' || s || CASE WHEN s % 2 = 0 THEN '.rs' ELSE '/mod.rs' END END"
 ORACLE_SQL = {
     "typescript_imports": f"""WITH o AS (SELECT DISTINCT o_custkey AS c, o_custkey % 25 AS n, o_orderkey % 7 AS way FROM orders),
         t AS (SELECT o.*, 'packages/n' || n || '/src/app.ts' AS importer, CASE way WHEN 0 THEN './c' || c || '.js' WHEN 1 THEN './c' || c WHEN 2 THEN '~/c' || c WHEN 3 THEN '@org/n' || n WHEN 4 THEN '@org/n' || n || '/c' || c WHEN 5 THEN 'lib' ELSE 'react' END AS specifier,
