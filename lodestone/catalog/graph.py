@@ -12,6 +12,7 @@ from lodestone.functions import columns, ids
 from lodestone.operators import build, health, metrics, search, traverse
 from lodestone.operators.build import Graph, build_graph, dedupe_nodes, dispatch_methods, merge_edges
 from lodestone.operators.context import context, review
+from lodestone.plans import plan
 from lodestone.sources import store, tables
 
 
@@ -237,6 +238,9 @@ QUERIES = {
     "stats_relations": partial(_graph, metrics.relations),
     "density": partial(_graph, metrics.density),
     "degree_rank": degree_rank,
+    "busiest_in": lambda s, d: metrics.busiest(commerce(s, d), "in"),
+    "busiest_out": lambda s, d: metrics.busiest(commerce(s, d), "out"),
+    "plan_stats": lambda s, d: plan.query("stats", commerce(s, d)),
     "orphans": lambda s, d: metrics.orphans(imports_only(commerce(s, d))),
     "entry_points": partial(_graph, metrics.entry_points),
     "top_files": partial(_graph, metrics.top_files),
@@ -279,6 +283,13 @@ ORACLE_SQL = {
     "stats_relations": f"WITH {G} SELECT relation, count(*) AS n FROM edges GROUP BY relation",
     "density": f"WITH {G} SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM edges) / CAST((SELECT count(*) FROM nodes) * ((SELECT count(*) FROM nodes) - 1) AS DOUBLE) AS density",
     "degree_rank": f"WITH {G} SELECT id, kind, in_degree, out_degree, in_degree + out_degree AS degree FROM deg WHERE {PROJECT} ORDER BY degree DESC, id LIMIT 20",
+    "busiest_in": f"WITH {G} SELECT id, in_degree FROM deg ORDER BY in_degree DESC, id LIMIT 5",
+    "busiest_out": f"WITH {G} SELECT id, out_degree FROM deg ORDER BY out_degree DESC, id LIMIT 5",
+    "plan_stats": f"""WITH {G} SELECT 'kind' AS what, kind AS name, count(*) AS n FROM nodes GROUP BY kind
+        UNION ALL SELECT 'relation', relation, count(*) FROM edges GROUP BY relation
+        UNION ALL SELECT 'nodes', NULL, count(*) FROM nodes UNION ALL SELECT 'edges', NULL, count(*) FROM edges
+        UNION ALL SELECT * FROM (SELECT 'in', id, in_degree FROM deg ORDER BY in_degree DESC, id LIMIT 5)
+        UNION ALL SELECT * FROM (SELECT 'out', id, out_degree FROM deg ORDER BY out_degree DESC, id LIMIT 5)""",
     "orphans": f"WITH {G} SELECT id, kind, source_file FROM nodes WHERE {PROJECT} AND id NOT IN (SELECT source FROM edges WHERE relation IN ('imports', 'contains') UNION ALL SELECT target FROM edges WHERE relation IN ('imports', 'contains')) ORDER BY id LIMIT 20",
     "entry_points": f"WITH {G} SELECT id, in_degree, out_degree, out_degree / CAST(greatest(in_degree, 1) AS DOUBLE) AS ratio FROM deg WHERE kind = 'file' AND out_degree > 0 ORDER BY ratio DESC, id LIMIT 20",
     "top_files": f"WITH {G} SELECT id, source_file, in_degree + out_degree AS degree FROM deg WHERE kind = 'file' ORDER BY degree DESC, id LIMIT 20",

@@ -14,13 +14,15 @@ import builtins
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.ids import file_id, make_id
 from lodestone.operators.build import Graph, build_graph, dispatch_methods
+from lodestone.sources.shared import at
 
 SCHEMA = "tag string, id string, kind string, name string, source_file string, source_location string, is_method boolean, source string, target string, relation string, confidence string, called string, weight double"
+KEYED = SCHEMA + ", key string"
 #: Objects and members whose calls say nothing of the project (fixed values).
 BUILTIN_OBJECTS = frozenset("Array Boolean Date Error Intl JSON Math Number Object Promise Reflect RegExp String Symbol URL URLSearchParams console process window document".split())
 NOISY_MEMBERS = frozenset(
@@ -407,45 +409,83 @@ def wanted(path: str, language: str | None, text: str) -> Asked:
     return asked
 
 
-def extract(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """nodes, edges and errors of files (rel_path, language, text). Rows without a path are left out; a null text is empty.
+def _sources(batch):
+    for path, language, text in zip(*(batch[c].to_pylist() for c in ("rel_path", "language", "text")), strict=True):
+        yield path, language, text or ""
 
-    Each file is given those of its imports' paths that exist, by a join: a path that many files import is one row of
-    the side that is looked up, and a file's own list is as long as its imports.
-    """
-    files = files.select("rel_path", "language", "text").where("rel_path is not null")
-    asked_schema = pa.schema([("rel_path", pa.string()), ("asked", pa.string())])
 
-    def rows(batch):
-        for path, language, text in zip(*(batch[c].to_pylist() for c in ("rel_path", "language", "text")), strict=True):
-            yield path, language, text or ""
+def with_known(files: DataFrame) -> DataFrame:
+    """rel_path, language, text and known: those of the paths that the file's imports could mean that exist."""
+    files = files.select("rel_path", "language", "text").where("rel_path is not null")
+    schema = pa.schema([("rel_path", pa.string()), ("asked", pa.string())])
 
     def ask(it):
         for batch in it:
-            pairs = [(path, a) for path, language, text in rows(batch) for a in wanted(path, language, text)]
-            yield pa.RecordBatch.from_pylist([{"rel_path": p, "asked": a} for p, a in pairs], schema=asked_schema)
+            pairs = [{"rel_path": path, "asked": a} for path, language, text in _sources(batch) for a in wanted(path, language, text)]
+            yield pa.RecordBatch.from_pylist(pairs, schema=schema)
 
     there = files.select(F.col("rel_path").alias("asked")).distinct()
-    known = files.mapInArrow(ask, "rel_path string, asked string").join(there, "asked", "left_semi").groupBy("rel_path").agg(F.collect_set("asked").alias("known"))
+    known = files.mapInArrow(ask, "rel_path string, asked string").join(there, "asked", "left_semi").groupBy("rel_path").agg(F.sort_array(F.collect_set("asked")).alias("known"))
+    return files.join(known, "rel_path", "left")
+
+
+def _rows(files: DataFrame) -> DataFrame:
+    """Tagged rows of files (rel_path, language, text, known, key), each with the key of its file."""
     kinds = {"string": pa.string(), "boolean": pa.bool_(), "double": pa.float64()}
-    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in SCHEMA.split(",")])
+    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in KEYED.split(", ")])
 
     def run(it):
         for batch in it:
             out = []
-            for (path, language, text), paths in zip(rows(batch), batch["known"].to_pylist(), strict=True):
+            for (path, language, text), paths, key in zip(_sources(batch), batch["known"].to_pylist(), batch["key"].to_pylist(), strict=True):
                 try:
-                    out += extract_file(path, language, text, frozenset(paths or ()))
+                    rows = extract_file(path, language, text, frozenset(paths or ()))
                 except FAILURES as e:
-                    out += [*Found(path).rows, {"tag": "error", "id": path, "name": type(e).__name__}]
+                    rows = [*Found(path).rows, {"tag": "error", "id": path, "name": type(e).__name__}]
+                out += [{**r, "key": key} for r in rows]
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    found = files.join(known, "rel_path", "left").select("rel_path", "language", "text", "known").mapInArrow(run, SCHEMA)
+    return files.select("rel_path", "language", "text", "known", "key").mapInArrow(run, KEYED)
+
+
+def _parts(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     nodes = found.where("tag = 'node'").select("id", "kind", "name", "source_file", "source_location", F.coalesce("is_method", F.lit(False)).alias("is_method"))
     edges = found.where("tag = 'edge'").select("source", "target", "relation", "source_file", "source_location", "confidence", "called", "weight")
     return nodes, edges, found.where("tag = 'error'").select(F.col("id").alias("subject"), F.col("name").alias("error")).orderBy("subject")
 
 
+def extract(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """nodes, edges and errors of files (rel_path, language, text). Rows without a path are left out; a null text is empty.
+
+    Each file is given those of its imports' paths that exist, by a join: a path that many files import is one row of
+    the side that is looked up, and a file's own list is as long as its imports.
+    """
+    return _parts(_rows(with_known(files).withColumn("key", F.lit(None).cast("string"))))
+
+
+def extract_cached(files: DataFrame, cache: str, engine: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As extract(); what a file yields is kept in the folder `cache` and extracted again only when its key changes.
+
+    A key is made of the path, the language, the text and the known paths of the imports, so a file whose import
+    appears or goes is extracted again. Each engine has a folder of its own. One run at a time may write.
+    """
+    spark, home = files.sparkSession, f"{cache.rstrip('/')}/engine={engine}"
+    key = F.sha2(F.to_json(F.struct("rel_path", "language", F.sha2("text", 256).alias("t"), "known")), 256)
+    keyed = with_known(files).withColumn("key", key).dropDuplicates(["key"])
+    fs, where = at(spark, home)
+    kept = lambda: spark.read.schema(KEYED).parquet(home)
+    new = keyed.join(kept().select("key").distinct(), "key", "left_anti") if fs.exists(where) else keyed
+    _rows(new).write.mode("append").parquet(home)
+    return _parts(kept().join(keyed.select("key"), "key", "left_semi"))
+
+
+def prune_cache(spark: SparkSession, cache: str, engine: str) -> list[str]:
+    """Deletes the folders of other engines; their names."""
+    fs, where = at(spark, f"{cache.rstrip('/')}/engine=*")
+    others = [f.getPath() for f in fs.globStatus(where) or [] if f.getPath().getName() != f"engine={engine}"]
+    return sorted(p.getName() for p in others if fs.delete(p, True))
+
+
 def code_graph(files: DataFrame) -> tuple[Graph, DataFrame]:
     """The graph of files and the errors: extraction, then member calls sent to the methods they can mean, then the build."""
     nodes, edges, errors = extract(files)

@@ -38,6 +38,25 @@ def density(graph: Graph) -> DataFrame:
     return both.select("nodes", "edges", d.alias("density"))
 
 
+def busiest(graph: Graph, side: str, top: int = 5) -> DataFrame:
+    """The nodes of most edges that come in (side "in") or go out ("out"); ties by id."""
+    return degrees(graph).orderBy(F.desc(f"{side}_degree"), "id").limit(top).select("id", f"{side}_degree")
+
+
+def summary(graph: Graph, top: int = 10) -> dict[str, DataFrame]:
+    """The tables of a graph's overview, each bounded."""
+    return {"size": density(graph), "god_nodes": god_nodes(graph, top), "entry_points": entry_points(graph, top), "top_files": top_files(graph, top), "surprising": surprising(graph, min(top, 5))}
+
+
+def community_of(graph: Graph, node: str, most: int = 50) -> DataFrame:
+    """node, community, size, and its first members by id, at most `most`. No row where the node has no community or is none."""
+    home = graph.nodes.where(F.col("id") == node).select("community").where("community is not null").limit(1)
+    members = graph.nodes.join(F.broadcast(home), "community", "left_semi")
+    size = home.join(F.broadcast(members.agg(F.count("*").alias("size"))))
+    first = members.orderBy("id").limit(most).agg(F.sort_array(F.collect_list("id")).alias("members"))
+    return size.join(F.broadcast(first)).select(F.lit(node).alias("node"), "community", "size", "members")
+
+
 def god_nodes(graph: Graph, top: int = 20) -> DataFrame:
     found = degrees(graph).where(is_project(F.col("kind"))).orderBy(F.desc("degree"), "id").limit(top)
     return found.select("id", "kind", "in_degree", "out_degree", "degree")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,8 +65,13 @@ def _path(relations: tuple[str, ...] = ()):
 
 
 def _stats(g, ids, options):
+    """what: nodes and edges, kind, relation, in and out (the five nodes of most edges), communities where there are any."""
     rows = [metrics.kinds(g).select(F.lit("kind").alias("what"), F.col("kind").alias("name"), "n"), metrics.relations(g).select(F.lit("relation"), "relation", "n")]
-    return rows[0].union(rows[1])
+    rows += [df.agg(F.lit(what).alias("what"), F.lit(None).cast("string").alias("name"), F.count("*").alias("n")) for what, df in (("nodes", g.nodes), ("edges", g.edges))]
+    rows += [metrics.busiest(g, side).select(F.lit(side), "id", f"{side}_degree") for side in ("in", "out")]
+    if "community" in g.nodes.columns:
+        rows.append(g.nodes.agg(F.lit("communities"), F.lit(None).cast("string"), F.countDistinct("community")))
+    return reduce(DataFrame.union, rows)
 
 
 VERBS: dict[str, Verb] = {}
@@ -124,18 +130,32 @@ def check(plan: Plan) -> None:
         raise PlanError("invalid_plan", f"invalid plan: {wrong}")
 
 
-def execute(plan: Plan, graph: Graph) -> tuple[DataFrame, list[dict]]:
-    """The rows, and how each target was resolved."""
+def _resolved(plan: Plan, graph: Graph) -> list[dict]:
+    """How each target of a plan is understood; node is None, and candidates are named, where nothing fits."""
     check(plan)
-    verb, ids, how = VERBS[plan.operation], {}, []
+    how = []
     for role, token in plan.targets:
         hits = search.resolve(graph.nodes, token).orderBy("place").collect()
-        if not hits:
-            near = [r.id for r in search.candidates(graph.nodes, token).collect()] if search.words(search.clean(token)) else []
-            raise PlanError("node_not_found", f"{role} not found: {token}", candidates=near)
-        ids[role] = hits[0].id
-        how.append({"role": role, "input": token, "node": hits[0].id, "type": hits[0].match_type, "alternates": [h.id for h in hits[1:]]})
-    return verb.run(graph, ids, verb.limits | plan.options), how
+        near = [] if hits or not search.words(search.clean(token)) else [r.id for r in search.candidates(graph.nodes, token).collect()]
+        first = hits[0] if hits else None
+        how.append({"role": role, "input": token, "node": first and first.id, "type": first and first.match_type, "alternates": [h.id for h in hits[1:]], "candidates": near})
+    return how
+
+
+def preview(plan: Plan, graph: Graph) -> dict:
+    """The plan, how its targets are understood, and whether it can run; nothing is run."""
+    how = _resolved(plan, graph)
+    return {"plan": plan.json(), "targets": how, "limits": VERBS[plan.operation].limits | plan.options, "executable": all(h["node"] for h in how)}
+
+
+def execute(plan: Plan, graph: Graph) -> tuple[DataFrame, list[dict]]:
+    """The rows, and how each target was resolved."""
+    how = _resolved(plan, graph)
+    for h in how:
+        if h["node"] is None:
+            raise PlanError("node_not_found", f"{h['role']} not found: {h['input']}", candidates=h["candidates"])
+    verb = VERBS[plan.operation]
+    return verb.run(graph, {h["role"]: h["node"] for h in how}, verb.limits | plan.options), how
 
 
 def query(text: str, graph: Graph) -> DataFrame:

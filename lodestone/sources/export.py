@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import metrics
 from lodestone.operators.build import Graph
+from lodestone.sources.shared import at
 
 
 def write_bundle(graph: Graph, path: str) -> None:
@@ -44,5 +45,11 @@ def viewer(graph: Graph, most: int = 2000) -> str:
     return f'<!doctype html><meta charset="utf-8"><title>Graph</title><ul>{rows}</ul><script type="application/json" id="graph">{data}</script>\n'
 
 
-def append_log(rows: DataFrame, path: str) -> None:
+def append_log(rows: DataFrame, path: str, most: int = 5 << 20) -> None:
+    """Appends rows as JSON lines. A log above `most` bytes becomes path.1, in place of the one before it, and a new one begins."""
+    fs, where = at(rows.sparkSession, path)
+    if fs.exists(where) and fs.getContentSummary(where).getLength() > most:
+        _, older = at(rows.sparkSession, f"{path.rstrip('/')}.1")
+        fs.delete(older, True)
+        fs.rename(where, older)
     rows.write.mode("append").json(path)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.columns import lookup, suffix
-from lodestone.schema import BUNDLE, INCIDENT, USAGE
+from lodestone.schema import BUNDLE, EDGE, INCIDENT, NODE, USAGE
+from lodestone.sources.shared import at
 
 #: Labels of files by extension (fixed values).
 LANGUAGES = {"ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "jsx", "mjs": "javascript", "cjs": "javascript", "py": "python", "go": "go", "rs": "rust", "json": "json", "md": "markdown", "mdx": "markdown", "yml": "yaml", "yaml": "yaml", "css": "css", "scss": "scss", "html": "html", "sql": "sql"}
@@ -40,7 +41,10 @@ def scan_files(spark: SparkSession, root: str, most: int = MOST_BYTES) -> DataFr
 
 
 def read_bundle(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """nodes and edges of a graph written as one JSON document."""
+    """nodes and edges of a graph written as one JSON document, or by export.write_bundle."""
+    fs, where = at(spark, f"{path.rstrip('/')}/nodes.json")
+    if fs.exists(where):
+        return spark.read.schema(NODE).json(f"{path}/nodes.json"), spark.read.schema(EDGE).json(f"{path}/edges.json")
     doc = spark.read.schema(BUNDLE).option("multiLine", True).json(path)
     return doc.select(F.inline("nodes")), doc.select(F.inline("edges"))
 
