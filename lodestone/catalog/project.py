@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestone.operators.extract import code_graph
 from lodestone.operators import communities, resolve
 from lodestone.sources import tables
 
@@ -66,7 +67,25 @@ def community_rollup(spark, sf_dir):
     return communities.rollup(nodes).select("community", "size", "file_count", "function_count", "class_count", "folder", "kind_label")
 
 
-QUERIES = {f.__name__: f for f in (typescript_imports, rust_uses, rust_mods, community_rollup)}
+#: Files of a made-up project: S is a supplier, N its nation.
+PYTHON_FILE = "from pkg.nN import helper\nclass CS:\n    def runS(self):\n        helper(len('x'))\n        self.stop()\n    def stop(self): pass\ndef fS():\n    lostS()\n    raise ValueError(1)\n"
+SCRIPT_FILE = "import { helper } from './nN';\nimport z from 'zod';\nexport class KS {\n  goS = () => helper();\n  runS() { return this.goS(); }\n}\nexport function mainS() { z.object({}); other.stray(); }\n"
+
+
+def code_edges(spark, sf_dir):
+    """Edges of the graph of a Python and a TypeScript file for each supplier, and of the files of the nations that these import."""
+    supplier, nation = tables.table(spark, sf_dir, "supplier"), tables.table(spark, sf_dir, "nation")
+    own = supplier.select(F.col("s_suppkey").cast("string").alias("s"), F.col("s_nationkey").cast("string").alias("n"))
+    text = lambda t: F.replace(F.replace(F.lit(t), F.lit("S"), F.col("s")), F.lit("N"), F.col("n"))
+    of = lambda path, language, t: F.struct(path.alias("rel_path"), F.lit(language).alias("language"), t.alias("text"))
+    files = own.select(F.inline(F.array(of(F.format_string("pkg/s%s.py", "s"), "python", text(PYTHON_FILE)), of(F.format_string("web/s%s.ts", "s"), "typescript", text(SCRIPT_FILE)))))
+    helped = nation.select(F.col("n_nationkey").cast("string").alias("n"))
+    shared = helped.select(F.inline(F.array(of(F.format_string("pkg/n%s.py", "n"), "python", F.lit("def helper(x): pass\n")), of(F.format_string("web/n%s.ts", "n"), "typescript", F.lit("export const helper = () => 1;\n")))))
+    graph, _ = code_graph(files.union(shared))
+    return graph.edges.select("source", "target", "relation", "confidence")
+
+
+QUERIES = {f.__name__: f for f in (typescript_imports, rust_uses, rust_mods, community_rollup, code_edges)}
 
 INSIDE = "CASE WHEN c_custkey % 5 <> 0 THEN 'packages/n' || n || '/src/c' || c || CASE WHEN c % 2 = 0 THEN '.ts' ELSE '/index.tsx' END END"
 MODULE = "CASE WHEN s_suppkey IS NOT NULL THEN 'crates/r' || r || '/src/m' || s || CASE WHEN s % 2 = 0 THEN '.rs' ELSE '/mod.rs' END END"
@@ -86,4 +105,17 @@ ORACLE_SQL = {
         k AS (SELECT community, kind, count(*) AS m FROM n GROUP BY ALL), top AS (SELECT community, arg_min(kind, (-m, kind)) AS kind FROM k GROUP BY community)
         SELECT community, count(*) AS size, count(*) FILTER (n.kind = 'file') AS file_count, count(*) FILTER (n.kind = 'function') AS function_count, count(*) FILTER (n.kind = 'class') AS class_count,
             min(base) || CASE WHEN community % 2 <> 0 AND min(side) = max(side) THEN '/d' || min(side) ELSE '' END AS folder, CASE WHEN any_value(top.kind) <> 'unknown' THEN any_value(top.kind) || 's' END AS kind_label FROM n JOIN top USING (community) GROUP BY community""",
+    "code_edges": """WITH f AS (SELECT 'pkg_s' || s_suppkey AS p, 'web_s' || s_suppkey AS w, s_suppkey AS s, 'pkg_n' || s_nationkey AS pn, 'web_n' || s_nationkey AS wn FROM supplier),
+        e AS (SELECT unnest([{'source': p, 'target': p || '_c' || s, 'relation': 'contains', 'confidence': 'EXTRACTED'}, {'source': p || '_c' || s, 'target': p || '_run' || s, 'relation': 'contains', 'confidence': 'EXTRACTED'},
+            {'source': p || '_c' || s, 'target': p || '_stop', 'relation': 'contains', 'confidence': 'EXTRACTED'}, {'source': p, 'target': p || '_f' || s, 'relation': 'contains', 'confidence': 'EXTRACTED'},
+            {'source': p, 'target': pn, 'relation': 'imports', 'confidence': 'EXACT_IMPORT'}, {'source': p || '_run' || s, 'target': pn || '_helper', 'relation': 'calls', 'confidence': 'LOCAL_CALL'},
+            {'source': p || '_run' || s, 'target': p || '_stop', 'relation': 'calls', 'confidence': 'LOCAL_CALL'}, {'source': p || '_f' || s, 'target': p || '_lost' || s, 'relation': 'calls', 'confidence': 'LOCAL_CALL'},
+            {'source': p || '_f' || s, 'target': p || '_valueerror', 'relation': 'calls', 'confidence': 'EXTERNAL_CALL'},
+            {'source': w, 'target': w || '_k' || s, 'relation': 'contains', 'confidence': 'EXTRACTED'}, {'source': w || '_k' || s, 'target': w || '_go' || s, 'relation': 'contains', 'confidence': 'EXTRACTED'},
+            {'source': w || '_k' || s, 'target': w || '_run' || s, 'relation': 'contains', 'confidence': 'EXTRACTED'}, {'source': w, 'target': w || '_main' || s, 'relation': 'contains', 'confidence': 'EXTRACTED'},
+            {'source': w, 'target': wn, 'relation': 'imports', 'confidence': 'EXACT_IMPORT'}, {'source': w, 'target': 'zod', 'relation': 'imports', 'confidence': 'EXTERNAL_IMPORT'},
+            {'source': w || '_go' || s, 'target': wn || '_helper', 'relation': 'calls', 'confidence': 'LOCAL_CALL'}, {'source': w || '_run' || s, 'target': w || '_go' || s, 'relation': 'calls', 'confidence': 'LOCAL_CALL'},
+            {'source': w || '_main' || s, 'target': w || '_z_object', 'relation': 'calls', 'confidence': 'EXTERNAL_CALL'}]) AS x FROM f)
+        SELECT x.source AS source, x.target AS target, x.relation AS relation, x.confidence AS confidence FROM e
+        UNION ALL SELECT 'pkg_n' || n_nationkey, 'pkg_n' || n_nationkey || '_helper', 'contains', 'EXTRACTED' FROM nation UNION ALL SELECT 'web_n' || n_nationkey, 'web_n' || n_nationkey || '_helper', 'contains', 'EXTRACTED' FROM nation""",
 }

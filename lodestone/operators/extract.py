@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.ids import file_id, make_id
 from lodestone.operators.build import Graph, build_graph, dispatch_methods
-from lodestone.sources.shared import at
+from lodestone.sources.shared import at, cut
 
 SCHEMA = "tag string, id string, kind string, name string, source_file string, source_location string, is_method boolean, source string, target string, relation string, confidence string, called string, weight double"
 KEYED = SCHEMA + ", key string"
@@ -454,13 +454,17 @@ def _parts(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return nodes, edges, found.where("tag = 'error'").select(F.col("id").alias("subject"), F.col("name").alias("error")).orderBy("subject")
 
 
+def _tagged(files: DataFrame) -> DataFrame:
+    return _rows(with_known(files).withColumn("key", F.lit(None).cast("string")))
+
+
 def extract(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """nodes, edges and errors of files (rel_path, language, text). Rows without a path are left out; a null text is empty.
 
     Each file is given those of its imports' paths that exist, by a join: a path that many files import is one row of
     the side that is looked up, and a file's own list is as long as its imports.
     """
-    return _parts(_rows(with_known(files).withColumn("key", F.lit(None).cast("string"))))
+    return _parts(_tagged(files))
 
 
 def extract_cached(files: DataFrame, cache: str, engine: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -487,8 +491,11 @@ def prune_cache(spark: SparkSession, cache: str, engine: str) -> list[str]:
 
 
 def code_graph(files: DataFrame) -> tuple[Graph, DataFrame]:
-    """The graph of files and the errors: extraction, then member calls sent to the methods they can mean, then the build."""
-    nodes, edges, errors = extract(files)
+    """The graph of files and the errors: extraction, then member calls sent to the methods they can mean, then the build.
+
+    What the files yield is written once to the shared folder, for it is read by several joins.
+    """
+    nodes, edges, errors = _parts(cut(_tagged(files)))
     homes = nodes.where("kind = 'file'").select(F.col("id").alias("target"), F.col("source_file").alias("target_file"))
     imports = edges.where("relation = 'imports'").join(homes, "target").select("source_file", "target_file").distinct()
     return build_graph(nodes, dispatch_methods(edges, nodes, imports)), errors

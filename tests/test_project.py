@@ -122,6 +122,8 @@ def test_overview(spark):
     stats = {(r.what, r.name): r.n for r in query("stats", g).collect()}
     assert stats["nodes", None] == 4 and stats["edges", None] == 2 and stats["communities", None] == 2 and stats["in", "b"] == 2 and stats["kind", "file"] == 3
     assert set(metrics.summary(g)) == {"size", "god_nodes", "entry_points", "top_files", "surprising"}
+    page = export.markdown(g)
+    assert "## Communities" in page and "a, b" in page.split("## Communities")[1]
     seen = preview(build("callers b"), g)
     assert seen["executable"] and seen["targets"][0]["node"] == "b" and seen["limits"] == {"max_results": 200}
     assert not preview(build("callers zzz"), g)["executable"]
